@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import language, sentences, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": language.p1_found,
+    "p1_segments": language.p1_segments,
+    "p2_found": sentences.p2_found,
     "p6_ids": tokens.p6_ids,
 }
 
