@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, sentences, tokens
+from . import confusables, language, pairs, sentences, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": language.p1_found,
     "p1_segments": language.p1_segments,
     "p2_found": sentences.p2_found,
+    "p4_found": confusables.p4_found,
+    "p4_normalized": confusables.p4_normalized,
+    "p5_found": pairs.p5_found,
     "p6_ids": tokens.p6_ids,
 }
 

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .tables import read, spread
 
-BLANKS = " \t    -  - 　"
-INVISIBLE = "​‌‍⁠﻿­‎‏‪-‮⁡-⁤"
+BLANKS = " \t\u00a0\u2007\u202f\u2000-\u2006\u2008-\u200a\u3000"
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f\u202a-\u202e\u2061-\u2064"
 CLOSERS = "\"'”’»›）)】」』\\]}"
 OPENERS = "\"'“‘„«‹（(【「『\\[{¿¡"
 MARKS = ".!?…。！？｡．।॥|¦‖｜।"
@@ -74,7 +74,7 @@ START = rf"[{BLANKS}\r\n{INVISIBLE}]*(?:[{OPENERS}]*[{UP}]|[{OPENERS}]|\d+[A-Z]?
 TABLES: dict[str, list[Rule]] = {
     "common": [
         # Marks inside a number, a name of a site, an abbreviation without blanks.
-        _rule(False, r"\.", r"[^\sA-ZÀ-Þऀ-ॿ　-鿿“«„(]"),
+        _rule(False, r"\.", r"[^\sA-ZÀ-Þऀ-ॿ\u3000-鿿“«„(]"),
         # A run of stops that goes on in the same sentence.
         _rule(False, r"(?:\.{2,}|…)[" + CLOSERS + "]*", rf"[{BLANKS}\r\n]*[a-zß-öø-ÿ,;]"),
         # A number or letter that opens a provision.
@@ -123,7 +123,7 @@ TABLES: dict[str, list[Rule]] = {
 #: A candidate: end marks with what closes after them, or a blank between Thai letters.
 CANDIDATE = re.compile(
     rf"[{MARKS}](?:[{INVISIBLE}]*[{MARKS}])*(?:[{INVISIBLE}]*(?:[”’»›）)】」』\]}}]|[{BLANKS}]»|[\"'](?=[\s{INVISIBLE}]|\Z)))*[{INVISIBLE}]*(?:[{BLANKS}]+[।॥|‖](?=\s|\Z))*"
-    rf"|(?<=[฀-๿{INVISIBLE})”\"])(?=[ \t\r\n   　])"
+    rf"|(?<=[฀-๿{INVISIBLE})”\"])(?=[ \t\r\n\u00a0\u2007\u202f\u3000])"
 )
 #: Spans that a break never divides; an unclosed sign opens none.
 SPANS = re.compile(

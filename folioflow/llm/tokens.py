@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .tables import read, spread, tokenizer_path
 
@@ -270,8 +271,6 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
                 ids = encoder(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["key", "ids"])
 
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
     schema = StructType([StructField("key", key_type), StructField("ids", ArrayType(IntegerType()))])
     return rows.mapInArrow(run, schema).select(F.col("key").alias(key), "ids")
 
@@ -279,7 +278,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
 def count(docs: DataFrame, path: str | None = None, text: str = "text", name: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of ``text``, 0 for null and empty texts."""
     rules = _rules(docs.sparkSession, path)
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(rules.value)
         for s in batches:
