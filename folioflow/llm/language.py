@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 #: Lengths of the n-grams.
 GRAMS = (1, 2, 3, 4)
 #: Labelled rows a language that the model is fitted on, at most about so many from each table.
-FIT_ROWS = 1500
+FIT_ROWS = 600
 #: Log-odds that a change of language within a document costs.
 CHANGE = 7.0
 #: Weight that the summed log-probabilities of overlapping n-grams get in posteriors.
@@ -67,24 +67,40 @@ def classes() -> np.ndarray:
     return _CLASSES
 
 
+_PLAIN: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _plain() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the BMP the one that it counts as, and whether it counts at all."""
+    global _PLAIN
+    if _PLAIN is None:
+        as_, stays = np.arange(65536), np.ones(65536, bool)
+        for c, x in PLAIN.items():
+            if x is None:
+                stays[c] = False
+            else:
+                as_[c] = x if isinstance(x, int) else ord(x)
+        _PLAIN = as_, stays
+    return _PLAIN
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts with separators as blanks, their script (0: none) and the text each belongs to."""
-    texts = [unicodedata.normalize("NFKC", t.translate(PLAIN)).lower() for t in texts]
     joined = "\n".join(texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not joined.isascii():
+        joined = unicodedata.normalize("NFKC", joined)
+    codes = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     # A line break inside a text separates words like any blank.
     inner = np.repeat(np.arange(len(texts)), [t.count("\n") + 1 for t in texts])
     owner = inner[np.concatenate([[0], np.cumsum(codes == 10)[:-1]])] if len(codes) else np.zeros(0, np.int64)
+    as_, stays = _plain()
+    low = np.minimum(codes, 65535)
+    keep = stays[low]
+    codes, owner = np.where(codes < 65536, as_[low], codes)[keep], owner[keep]
     kind = np.where(codes < 65536, classes()[np.minimum(codes, 65535)], 1 + SCRIPTS.index("OTHER"))
     return np.where(kind == 0, 32, codes), kind, owner
 
 
-def features_of_scripts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The script of each letter, and the text it belongs to."""
-    _, kind, owner = _codes(texts)
-    return kind[kind > 0].astype(np.int64) - 1, owner[kind > 0]
-
-
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all texts, and the text each belongs to; the first buckets are scripts."""
     codes, kind, owner = _codes(texts)
@@ -113,10 +129,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(whose)
 
 
-def script_counts(texts: list[str]) -> np.ndarray:
-    """Letters of each script (columns) in each text (rows)."""
-    bucket, owner = features_of_scripts(texts)
-    return np.bincount(owner * len(SCRIPTS) + bucket, minlength=len(texts) * len(SCRIPTS)).reshape(len(texts), -1)
+def script_counts(bucket: np.ndarray, owner: np.ndarray, count: int) -> np.ndarray:
+    """Letters of each script (columns) in each text (rows), from the features of the texts."""
+    of = bucket < len(SCRIPTS)
+    return np.bincount(owner[of] * len(SCRIPTS) + bucket[of], minlength=count * len(SCRIPTS)).reshape(count, -1)
 
 
 @dataclass
@@ -127,33 +143,31 @@ class Model:
     logp: np.ndarray  # BUCKETS x classes
     of: np.ndarray  # language of each class
 
-    def classes(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihood of each text (rows) in each class, a slice of the texts at a time."""
+    def classes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each text (rows) in each class, and its letters by script; a slice of the texts at a time."""
         out = np.zeros((len(texts), len(self.of)), np.float32)
+        letters = np.zeros((len(texts), len(SCRIPTS)), np.int64)
+        sizes = np.cumsum([len(t) for t in texts])
         i = 0
         while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) < 100_000):
-                size += len(texts[j])
-                j += 1
+            j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + 100_000)))
             bucket, owner = features(texts[i:j])
+            letters[i:j] = script_counts(bucket, owner, j - i)
             order = np.argsort(owner, kind="stable")
             bucket, owner = bucket[order], owner[order]
             if len(owner):
                 first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
                 out[i + owner[first]] = np.add.reduceat(self.logp[bucket], first, axis=0)
             i = j
-        return out
+        return out, letters
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Log-likelihood in each language; a few Latin letters alone (numerals, marks) are no evidence."""
-        by_class = self.classes(texts)
+        by_class, letters = self.classes(texts)
         out = np.full((len(texts), len(self.langs)), -1e9, np.float32)
         for c, lang in enumerate(self.of):
             out[:, lang] = np.maximum(out[:, lang], by_class[:, c])
-        if texts:
-            letters = script_counts(texts)
-            out[(letters.sum(axis=1) == letters[:, 0]) & (letters[:, 0] < 5)] = 0
+        out[(letters.sum(axis=1) == letters[:, 0]) & (letters[:, 0] < 5)] = 0
         return out
 
 
@@ -178,6 +192,16 @@ def path(score: np.ndarray, change: float = CHANGE) -> np.ndarray:
     return out
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """The sentence units of the rows (text, lang), some in a row: a list of texts and their label."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"units": [[t[a:b] for a, b in units(t)] for t in batch["text"]], "lang": batch["lang"]})
+
+    return rows.mapInPandas(run, "units array<string>, lang string")
+
+
 def _count(rows: DataFrame, langs: list[str], native: np.ndarray, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature counts by bucket and class, and units by the class that wins them and the label of their row.
 
@@ -192,25 +216,20 @@ def _count(rows: DataFrame, langs: list[str], native: np.ndarray, model: Model |
         won = np.zeros((width, len(langs)), np.int64)
         m: Model | None = held.value
         for batch in batches:
-            texts, which = [], []
-            for text, lang in zip(batch["text"], batch["lang"]):
-                for a, b in units(text):
-                    texts.append(text[a:b])
-                    which.append(number[lang])
-            if not texts:
-                continue
-            label = np.array(which)
-            own = native[label, script_counts(texts).argmax(axis=1)]
-            column = 2 * label + ~own
-            if m is not None:
-                best = m.classes(texts).argmax(axis=1)
-                np.add.at(won, (best, label), 1)
-                ok = m.of[best] == label
-                texts, column = [t for t, x in zip(texts, ok) if x], column[ok]
-                if not texts:
-                    continue
-            bucket, owner = features(texts)
-            total += np.bincount(bucket * width + column[owner], minlength=total.size).reshape(total.shape)
+            texts = [u for own in batch["units"] for u in own]
+            label = np.repeat([number[x] for x in batch["lang"]], [len(own) for own in batch["units"]]).astype(np.int64)
+            for i in range(0, len(texts), 2000):
+                some, of = texts[i : i + 2000], label[i : i + 2000]
+                bucket, owner = features(some)
+                letters = script_counts(bucket, owner, len(some))
+                column = 2 * of + ~native[of, letters.argmax(axis=1)]
+                ok = np.ones(len(some), bool)
+                if m is not None:
+                    best = m.classes(some)[0].argmax(axis=1)
+                    np.add.at(won, (best, of), 1)
+                    ok = m.of[best] == of
+                counted = ok[owner]
+                total += np.bincount(bucket[counted] * width + column[owner[counted]], minlength=total.size).reshape(total.shape)
         used = np.flatnonzero(total.any(axis=1))
         yield pd.DataFrame({"bucket": used} | {f"n{i}": total[used, i] for i in range(width)})
         extra = np.zeros((width, width), np.int64)
@@ -241,7 +260,7 @@ def fit(labelled: DataFrame, codes: DataFrame) -> Model:
     if share:
         limit = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
         rows = rows.where(F.pmod(F.xxhash64("text", "lang"), F.lit(1_000_003)) < limit * 1_000_003)
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).cache()
+    rows = _cut(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)).cache()
     model, alive = None, np.ones(2 * len(langs), bool)
     for _ in range(3):
         counts, won = _count(rows, langs, native, model)

@@ -155,11 +155,11 @@ class Copies:
         return self.cost(a, self.labels + b" " + ASKED.encode() + b" " + q) <= allowed(a) and self.cost(q, a) <= allowed(q)
 
 
-CLOSED = re.compile(rf"[{MARKS}][\"'”’»›)）\]」』*_\s​-‏⁠﻿]*\Z")
+CLOSED = re.compile(rf"[{MARKS}][\"'”’»›)）\]」』*_\s\u200b-\u200f\u2060\ufeff]*\Z")
 DANGLING = re.compile(r"[,;:，、；：(\[（「“„«‘\-–—/]\s*\Z")
 NO_END = re.compile(f"(?:{_words(' '.join(NEVER.values()) + ' No no Nos')})\\Z")
 ITEM = re.compile(r"^\s*(?:[-*•·]|\d+[.)]|[|])\s*\S|\|\s*$")
-PAIRS = (("“", "”"), ("«", "»"), ("「", "」"), ("『", "』"), ("(", ")"), ("（", "）"))
+PAIRS = [("«", "»"), ("「", "」"), ("『", "』"), ("(", ")"), ("（", "）")]
 
 
 def _tokens(text: str) -> list[str]:
@@ -176,21 +176,21 @@ def ending(answer: str) -> tuple[str, str, str]:
     cut_mark = re.search(r"\[(?:C(?:I(?:T(?:E(?::\w*)?)?)?)?)?\Z", text.rstrip())
     if cut_mark and cut_mark.group() != "":
         return "yes", "", ""
-    text = re.sub(r"[*_`~\s​-‏⁠﻿]+\Z", "", TAG.sub(" ", text)).rstrip()
+    text = re.sub(r"[*_`~\s\u200b-\u200f\u2060\ufeff]+\Z", "", TAG.sub(" ", text)).rstrip()
     last = text.rsplit("\n", 1)[-1]
     # A citation that stood before the end mark leaves a blank there.
     last = re.sub(rf"(?<=[{MARKS}])[\s.]+\Z", "", last)
     if not last:
         return "no", "", ""
-    for a, b in PAIRS:
-        if last.count(a) > last.count(b):
-            return "yes", "", ""
-    if last.count('"') % 2 or last.count("„") > last.count("“") + last.count("”"):
+    quotes = [("„", "“")] if "„" in last else [("“", "”")]
+    if any(last.count(a) > last.count(b) for a, b in quotes + PAIRS) or last.count('"') % 2:
+        return "yes", "", ""
+    if re.search(r"\w\s?(?:…|\.{3})\Z", last):
         return "yes", "", ""
     words = _tokens(last)
     if CLOSED.search(last):
         return ("yes" if NO_END.search(last) and len(words) > 3 else "no"), "", ""
-    if ITEM.match(last) and not DANGLING.search(last):
+    if ITEM.match(last) and len(words) < 8 and not DANGLING.search(last):
         return "no", "", ""
     if DANGLING.search(last) and not last.rstrip().endswith("/-"):
         return "yes", "", ""

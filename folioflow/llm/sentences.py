@@ -36,10 +36,15 @@ class Rule:
     breaks: bool
     before: re.Pattern
     after: re.Pattern
+    whole: bool  # looks at the unit from its beginning, not only at its last characters
+
+
+#: Characters before a place that rules without a beginning look at; no abbreviation is as long.
+TAIL = 28
 
 
 def _rule(breaks: bool, before: str, after: str = "") -> Rule:
-    return Rule(breaks, re.compile(f"(?:{before})\\Z"), re.compile(after))
+    return Rule(breaks, re.compile(f"(?:{before})\\Z"), re.compile(after), before.startswith("^"))
 
 
 def _words(words: str) -> str:
@@ -120,6 +125,9 @@ TABLES: dict[str, list[Rule]] = {
     ],
 }
 
+#: The cascade of each script.
+CASCADES = {name: TABLES["common"] + rules for name, rules in TABLES.items()}
+
 #: A candidate: end marks with what closes after them, or a blank between Thai letters.
 CANDIDATE = re.compile(
     rf"[{MARKS}](?:[{INVISIBLE}]*[{MARKS}])*(?:[{INVISIBLE}]*(?:[”’»›）)】」』\]}}]|[{BLANKS}]»|[\"'](?=[\s{INVISIBLE}]|\Z)))*[{INVISIBLE}]*(?:[{BLANKS}]+[।॥|‖](?=\s|\Z))*"
@@ -162,13 +170,13 @@ def _breaks(text: str, start: int, at: int, end: int) -> bool:
     """What the cascade says of the place ``at`` in the unit that began at ``start``."""
     before = text[start:at] if at - start < 400 else "~ " + text[at - 200 : at]
     after = text[at : min(at + 40, end)]
+    tail = before[-TAIL:]
     script = _script(text, start, at)
-    if script == LATIN and not (before.isascii() and after.isascii()):
-        before, after = fold(before), fold(after)
-    for table in ("common", script):
-        for rule in TABLES[table]:
-            if rule.after.match(after) and rule.before.search(before):
-                return rule.breaks
+    if script == LATIN and not (tail.isascii() and after.isascii()):
+        tail, after = fold(tail), fold(after)
+    for rule in CASCADES[script]:
+        if rule.after.match(after) and rule.before.search(before if rule.whole else tail):
+            return rule.breaks
     return False
 
 
