@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import confusables, language, pairs, sentences, tokens
+from . import confusables, language, pairs, scans, sentences, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": language.p1_found,
     "p1_segments": language.p1_segments,
     "p2_found": sentences.p2_found,
+    "p3_found": scans.p3_found,
+    "p3_paragraphs": scans.p3_paragraphs,
     "p4_found": confusables.p4_found,
     "p4_normalized": confusables.p4_normalized,
     "p5_found": pairs.p5_found,
