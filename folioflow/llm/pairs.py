@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .language import TEMPER, Model, model_for
 from .sentences import MARKS, NEVER, _words, units
-from .tables import read
+from .tables import keep, read
 
 #: Words that stand for nothing, as a whole answer.
 NOTHING = {"null", "none", "n/a", "na", "nil", "nan", "undefined", "empty", "no answer", "keine", "néant", "ninguno", "कुनै छैन", "शून्य", "无", "なし", "ไม่มี"}
@@ -282,7 +282,7 @@ def defects(pairs: DataFrame, model: Model) -> DataFrame:
     found. Repeated rows count once.
     """
     pairs = pairs.dropDuplicates(["src", "pair_id", "query", "answer"])
-    seen = flags(pairs, model)
+    seen = keep(flags(pairs, model))
     ask = seen.where("ending = 'ask'").select("src", "pair_id", "bigram", "word")
     wanted = ask.select(F.explode(F.array("bigram", "word")).alias("key")).distinct()
     # Only keys that some answer ends with are kept of the corpus's counts.
