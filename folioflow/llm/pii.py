@@ -164,7 +164,7 @@ def addresses(text: str) -> list[tuple[int, int]]:
 CUES = re.compile(
     r"(?:(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Adv|Hr|Sr|Sra|Mme|Mlle|M|Er|Shri|Smt)\.?|Frau|Herrn?|(?<!\w)Name\s?:|Contact(?:o)?\s?:|Ansprechpartner(?:in)?\s?:|issued\s+to|complaint\s+of|parcel\s+for"
     r"|ausgestellt\s+auf|au\s+nom\s+de|a\s+nombre\s+de|match\s+the\s+name|particulars\s+—|(?<!\w)Dear|Power\s+of\s+attorney\s?:|in\s+favour\s+of|Yours\s+(?:faithfully|sincerely|truly),"
-    r"|(?<![ऀ-ॿ])(?:श्री(?:मती)?|सुश्री|डा\.|डॉ\.|प्रा\.|प्रो\.|नाम\s?:|सम्पर्क\s?:|संपर्क\s?:|बोधार्थ\s?:|भएक[ीो]|बस्ने|आवेदक|गवाह|निवेदक|साक्षी))\s+"
+    r"|(?<![ऀ-ॿ])(?:श्री(?:मती)?|सुश्री|डा\.|डॉ\.|प्रा\.|प्रो\.|नाम\s?:|सम्पर्क\s?:|संपर्क\s?:|बोधार्थ\s?:|भएकी|बस्ने|आवेदक|गवाह|निवेदक|साक्षी))\s+"
 )
 #: Words after which no name follows, or that aren't part of one, although written like it.
 NOT_NAMES = frozenset(
@@ -177,18 +177,26 @@ NOT_NAMES = frozenset(
 COMPANY = re.compile(r"\s+(?:Traders|Pvt|Ltd|Limited|Company|Co\.|Bank|Industries|ट्रेडर्स|Municipality|नगरपालिका|नगर\s+निगम|Marg|Street|Road|Lane|Tole|Apartments|मार्ग|टोल|गली)")
 #: Postpositions that are written together with a word.
 POST = re.compile(r"(?:ले|लाई|को|का|की|मा|बाट|सँग|बीच|द्वारा|प्रति|लगायत|समेत)\Z")
+#: Those of them that no name ends in.
+SURE_POST = re.compile(r"(?:ले|लाई|बीच|सँग|बाट|द्वारा)\Z")
+#: A French title, not an initial.
+FRENCH = re.compile(r"\s(?:et|a|ont|est|sera)\s|,\s(?:domicili|demeurant|né)")
 WORD = re.compile(r"[A-Z][a-zà-ÿ]+|[A-Z]{3,}|[A-Z]\.(?=\s?[A-Z])|[ऀ-ॣॱ-ॿ]{3,}")
-FEATURES = 1 << 17
+FEATURES = 1 << 19
 #: Log-odds: a cue before a word, and after none; two neighbours in one name; two equal words.
-CUE, BASE, CHAIN, SKIP = 5.0, -2.2, 1.1, 0.9
+CUE, BASE, CHAIN, SKIP = 5.0, -1.8, 1.8, 0.9
 #: Words below this are no nodes.
-LEAST = -1.5
+LEAST = -2.5
+#: A word beside a name belongs to it down to this belief.
+BESIDE = -1.5
+#: Share of the occurrences after a cue, of words of names and of others.
+NAMED, OTHERS = 0.35, 0.003
 ROUNDS = 6
 
 
 def form_features(word: str) -> list[int]:
     w = word.casefold()
-    own = ("=" + w, "$4" + w[-4:], "$3" + w[-3:], "$5" + w[-5:], "^3" + w[:3], "^4" + w[:4])
+    own = ("=" + w, "$4" + w[-4:], "$3" + w[-3:], "$5" + w[-5:], "^3" + w[:3])
     return [_hash(x) for x in own]
 
 
@@ -205,19 +213,22 @@ def cued(text: str) -> Iterator[str]:
         at = m.end()
         for k in range(3):
             w = WORD.match(text, at)
-            if not w or len(w.group()) == 2 and w.group()[1] == "." and k == 2:
+            if not w:
                 break
-            if not w.group().endswith("."):
-                yield w.group()
+            word = w.group()
+            if (post := SURE_POST.search(word)) and post.start() >= 3:
+                yield word[: post.start()]
+                break
+            if not word.endswith("."):
+                yield word
             at = w.end()
-            gap = re.match(r"\s", text[at : at + 1])
-            if not gap or "ऀ" <= w.group()[0] <= "ॿ" and k == 1:
+            if not re.match(r"\s", text[at : at + 1]) or "ऀ" <= word[0] <= "ॿ" and k == 1:
                 break
             at += 1
 
 
 def fit_names(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log-odds of the features of words in names against all words, from all documents; their number is fixed."""
+    """How often each feature occurs in words of names after cues, and in all words, of all documents; a fixed number of rows."""
     rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text")), 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,22 +256,21 @@ def fit_names(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     sums = rows.mapInArrow(run, "bucket bigint, names bigint, words bigint").groupBy("bucket").agg(F.sum("names").alias("names"), F.sum("words").alias("words"))
     got = sums.toPandas()  # at most FEATURES rows
-    n = np.zeros((FEATURES, 2))
+    n = np.zeros((FEATURES, 2), np.int32)
     n[got["bucket"]] = got[["names", "words"]].to_numpy()
-    rate = (n[:, 0] + 0.5) / (n[:, 1] + 4.0)
-    prior = (n[:, 0].sum() + 1) / (n[:, 1].sum() + 10)
-    # Unseen features say nothing; of a feature the rate among its words counts against the usual rate.
-    return np.where(n[:, 1] > 0, np.log(rate / max(prior, 1e-6)), 0.0).astype(np.float32)
+    return n
 
 
 class Names:
     """Labels the words of batches of texts."""
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, counts: np.ndarray):
+        self.names, self.words = counts[:, 0], counts[:, 1]
+        self.prior = max((self.names.sum() + 1) / (self.words.sum() + 10), 1e-6)
         self.memory: dict[str, float] = {}
 
     def form(self, word: str) -> float:
+        """Log of the rate of names among words of this form against the usual rate."""
         got = self.memory.get(word)
         if got is None:
             if len(self.memory) > 400_000:
@@ -268,9 +278,15 @@ class Names:
             if word.casefold() in NOT_NAMES:
                 got = -9.0
             else:
-                whole, *parts = self.weights[form_features(word)].tolist()
-                # The word itself if it was seen, else what its parts say.
-                got = 0.6 * whole + 0.4 * (sum(parts) / len(parts)) * 1.2
+                whole, *parts = form_features(word)
+                k, n = self.names[parts], self.words[parts]
+                known = n > 0
+                got = 0.0
+                if known.any():
+                    got = float(np.clip(np.log((k[known] + 0.2 * self.prior) / (n[known] + 0.2) / self.prior).mean(), -4.0, 4.0))
+                k1, n1 = self.names[whole], self.words[whole]
+                own = k1 * np.log(NAMED / OTHERS) + (n1 - k1) * np.log((1 - NAMED) / (1 - OTHERS))
+                got += float(np.clip(0.5 * own, -6.0, 5.0))
             self.memory[word] = got
         return got
 
@@ -292,7 +308,7 @@ class Names:
             score = form(word)
             if "ऀ" <= word[0] <= "ॿ" and (p := POST.search(word)) and p.start() >= 3:
                 stem = form(word[: p.start()])
-                if stem > score + 0.5:
+                if stem > score + 0.5 or stem > 0 and SURE_POST.search(word):
                     score, end = stem, start + p.start()
             near = start in cue_at
             if score + BASE + CUE * near <= LEAST:
@@ -341,7 +357,8 @@ def propagate(unary: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndar
 def decode(texts: list[str], spans: list[tuple[int, int, int]], belief: np.ndarray) -> list[list[tuple[int, int]]]:
     """Names: runs of words labelled so, initials between or before them included."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    yes = belief > 0
+    sure = belief > 0
+    yes = belief > BESIDE
     n = len(spans)
     i = 0
     while i < n:
@@ -363,10 +380,13 @@ def decode(texts: list[str], spans: list[tuple[int, int, int]], belief: np.ndarr
                 break
         while run and text[spans[run[-1]][2] - 1] == "." and len(run) and spans[run[-1]][2] - spans[run[-1]][1] == 2:
             run.pop()
-        if not any(yes[r] and text[spans[r][2] - 1] != "." for r in run):
+        if not any(sure[r] and text[spans[r][2] - 1] != "." for r in run):
             i = max(j, i + 1)
             continue
-        start, end = spans[run[0]][1], spans[run[-1]][2]
+        end = spans[run[-1]][2]
+        if len(run) > 1 and text[spans[run[0]][1] : spans[run[0]][2]] == "M." and FRENCH.match(text, end):
+            run = run[1:]
+        start = spans[run[0]][1]
         # "Surname, Given": one word, a comma, and a given name with nothing else before the comma.
         if len(run) == 1 and j < n and spans[j][0] == d and yes[j] and text[end : spans[j][1]] in (", ", ",\n") and text[spans[j][2] - 1] != ".":
             after = spans[j]
