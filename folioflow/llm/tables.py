@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,17 +15,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """``df`` as a written table, so that later jobs don't compute it again and lost executors don't matter.
 
-    The folder is the session's ``spark.checkpoint.dir``; where the session has
-    none (tests on one machine) a temporary one is set.
+    The table is written to the shared folder that the session names in
+    ``spark.checkpoint.dir``; where it names none (tests on one machine) to a
+    temporary one.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        )
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, keys: int = 3) -> DataFrame:
