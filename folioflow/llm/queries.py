@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import confusables, language, pairs, pii, scans, sentences, tokens
+from . import confusables, language, mixing, pairs, pii, scans, sentences, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": language.p1_found,
@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_normalized": confusables.p4_normalized,
     "p5_found": pairs.p5_found,
     "p6_ids": tokens.p6_ids,
+    "p7_mix": mixing.p7_mix,
+    "p7_report": mixing.p7_report,
     "p8_found": pii.p8_found,
     "p8_redacted": pii.p8_redacted,
 }
