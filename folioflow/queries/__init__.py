@@ -20,3 +20,6 @@ def register(name: str, sql: str | None = None):
         return run
 
     return add
+
+
+from . import search, usage  # noqa: E402, F401
