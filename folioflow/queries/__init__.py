@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from . import search, usage  # noqa: E402, F401
+from . import pages, search, usage  # noqa: E402, F401
