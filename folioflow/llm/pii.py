@@ -160,12 +160,25 @@ def addresses(text: str) -> list[tuple[int, int]]:
 
 # --- names ------------------------------------------------------------------
 
-#: What stands before a name.
-CUES = re.compile(
-    r"(?:(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Adv|Hr|Sr|Sra|Mme|Mlle|M|Er|Shri|Smt)\.?|Frau|Herrn?|(?<!\w)Name\s?:|Contact(?:o)?\s?:|Ansprechpartner(?:in)?\s?:|issued\s+to|complaint\s+of|parcel\s+for"
-    r"|ausgestellt\s+auf|au\s+nom\s+de|a\s+nombre\s+de|match\s+the\s+name|particulars\s+—|(?<!\w)Dear|Power\s+of\s+attorney\s?:|in\s+favour\s+of|Yours\s+(?:faithfully|sincerely|truly),"
-    r"|(?<![ऀ-ॿ])(?:श्री(?:मती)?|सुश्री|डा\.|डॉ\.|प्रा\.|प्रो\.|नाम\s?:|सम्पर्क\s?:|संपर्क\s?:|बोधार्थ\s?:|भएकी|बस्ने|आवेदक|गवाह|निवेदक|साक्षी))\s+"
+#: What stands before a name, in Latin letters and in Devanagari; both begin only where a word does.
+CUES_LATIN = re.compile(
+    r"(?<!\w)(?=[A-Zacimp])(?:(?:Mr|Mrs|Ms|Dr|Prof|Adv|Hr|Sr|Sra|Dra|Mme|Mlle|M|Er|Shri|Smt)\.?|Frau|Herrn?|Name\s?:|Contact(?:o)?\s?:|Ansprechpartner(?:in)?\s?:|issued\s+to|complaint\s+of|parcel\s+for"
+    r"|ausgestellt\s+auf|au\s+nom\s+de|a\s+nombre\s+de|match\s+the\s+name|particulars\s+—|Dear|Power\s+of\s+attorney\s?:|in\s+favour\s+of|Yours\s+(?:faithfully|sincerely|truly),)\s+"
 )
+CUES_DEVA = re.compile(
+    r"(?<![ऀ-ॿ])(?=[शसडपनबभआगव])(?:श्री(?:मती)?|सुश्री|डा\.|डॉ\.|प्रा\.|प्रो\.|नाम\s?:|सम्पर्क\s?:|संपर्क\s?:|बोधार्थ\s?:|भएकी|बस्ने|आवेदक|गवाह|निवेदक|साक्षी:?)\s+"
+)
+DEVA_LETTER = re.compile("[क-ह]")
+
+
+def cue_ends(text: str) -> list[int]:
+    """Where a name may begin: after each cue."""
+    out = [m.end() for m in CUES_LATIN.finditer(text)]
+    if not text.isascii() and DEVA_LETTER.search(text):
+        out += [m.end() for m in CUES_DEVA.finditer(text)]
+    return out
+
+
 #: Words after which no name follows, or that aren't part of one, although written like it.
 NOT_NAMES = frozenset(
     "the a an and of for to in on at by or nor if any every who what which when where since although provided nothing no not each both we i you it is are was were "
@@ -209,8 +222,7 @@ def _hash(text: str) -> int:
 
 def cued(text: str) -> Iterator[str]:
     """Words of the names after cues."""
-    for m in CUES.finditer(text):
-        at = m.end()
+    for at in cue_ends(text):
         for k in range(3):
             w = WORD.match(text, at)
             if not w:
@@ -268,6 +280,19 @@ class Names:
         self.names, self.words = counts[:, 0], counts[:, 1]
         self.prior = max((self.names.sum() + 1) / (self.words.sum() + 10), 1e-6)
         self.memory: dict[str, float] = {}
+        self.types: dict[str, tuple[float, int]] = {}
+
+    def type(self, word: str) -> tuple[float, int]:
+        """Unary log-odds of a word without a cue, and how many of its last characters are a postposition."""
+        if len(self.types) > 400_000:
+            self.types.clear()
+        score, cut = self.form(word), 0
+        if "ऀ" <= word[0] <= "ॿ" and (p := POST.search(word)) and p.start() >= 3:
+            stem = self.form(word[: p.start()])
+            if stem > score + 0.5 or stem > 0 and SURE_POST.search(word):
+                score, cut = stem, len(word) - p.start()
+        self.types[word] = score + BASE, cut
+        return self.types[word]
 
     def form(self, word: str) -> float:
         """Log of the rate of names among words of this form against the usual rate."""
@@ -292,30 +317,27 @@ class Names:
 
     def nodes(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, float, str]]:
         """start, end, unary log-odds and type of the words that could be part of a name."""
-        cue_at = {m.end() for m in CUES.finditer(text)}
+        cue_at = set(cue_ends(text))
         out: list[tuple[int, int, float, str]] = []
-        form = self.form
-        k = 0
+        types, low = self.types, LEAST - CUE
         for m in WORD.finditer(text):
-            word, start, end = m.group(), m.start(), m.end()
-            while k < len(taken) and taken[k][1] <= start:
-                k += 1
-            if k < len(taken) and taken[k][0] <= start:
-                continue
+            word = m.group()
             if word[-1] == ".":
-                out.append((start, end, 0.0, ""))
-                continue
-            score = form(word)
-            if "ऀ" <= word[0] <= "ॿ" and (p := POST.search(word)) and p.start() >= 3:
-                stem = form(word[: p.start()])
-                if stem > score + 0.5 or stem > 0 and SURE_POST.search(word):
-                    score, end = stem, start + p.start()
-            near = start in cue_at
-            if score + BASE + CUE * near <= LEAST:
-                continue
-            if COMPANY.match(text, m.end()):
+                score, cut = 0.0, 0
+            else:
+                score, cut = types.get(word) or self.type(word)
+                if score <= low:
+                    continue
+            start = m.start()
+            if start in cue_at:
+                score += CUE
+            if score <= LEAST or any(a <= start < b for a, b in taken):
                 continue
-            out.append((start, end, score + BASE + CUE * near, text[start:end].casefold()))
+            if word[-1] == ".":
+                out.append((start, m.end(), 0.0, ""))
+            elif not COMPANY.match(text, m.end()):
+                end = m.end() - cut
+                out.append((start, end, score, text[start:end].casefold()))
         return out
 
     def __call__(self, texts: list[str], taken: list[list[tuple[int, int]]]) -> list[list[tuple[int, int]]]:
