@@ -53,11 +53,11 @@ def words_space_type(spark, sf_dir):
     f"""with {CLEAN_SQL}, f as (select *, case when coalesce(space_type > 1 or ends_with(text, ':') or lead(line) over w <> line or lead(block) over w <> block
       or (lead(x0) over w - x2) > 0.75 * greatest(y2 - y0, lead(y2) over w - lead(y0) over w), true) then 1 else 0 end as ends from cleaned window w as (partition by document_id, page order by index_sort)),
     g as (select *, coalesce(sum(ends) over (partition by document_id, page order by index_sort rows between unbounded preceding and 1 preceding), 0)::bigint as phrase from f)
-    select document_id, page, phrase, string_agg(text, ' ' order by index_sort) as text, min(x0) as x0, max(x2) as x2, round(case when sum(length(text)) > 0 then sum(confidence * length(text)) / sum(length(text)) end, 4) as confidence, count(*) as words from g group by document_id, page, phrase""",
+    select document_id, page, phrase, string_agg(text, ' ' order by index_sort) as text, min(x0) as x0, max(x2) as x2, round(case when sum(length(text)) > 0 then sum(confidence * length(text)) / sum(length(text)) end + 1e-9, 4) as confidence, count(*) as words from g group by document_id, page, phrase""",
 )
 def words_combine(spark, sf_dir):
     own = words.combine(words.clean(word_table(spark, sf_dir)))
-    return own.select("document_id", "page", F.col("phrase").cast("long").alias("phrase"), "text", "x0", "x2", F.round("confidence", 4).alias("confidence"), "words")
+    return own.select("document_id", "page", F.col("phrase").cast("long").alias("phrase"), "text", "x0", "x2", F.round(F.col("confidence") + 1e-9, 4).alias("confidence"), "words")
 
 
 @register("simple_text", f"with {CLEAN_SQL} select document_id, page, line, string_agg(text, ' ' order by x0, index_sort) as text from cleaned group by document_id, page, line")
@@ -133,7 +133,7 @@ def parse_totals(spark, sf_dir):
 @register(
     "digital_detection",
     f"""with c as (select document_id, count(*) * 1.0 / count(distinct page) as per_page from {EXPLODED_SQL} group by document_id),
-    r as (select document_id, arg_max(ocr_enabled, (requested_at, request_id)) as ocr_enabled, arg_max(lower(trim(language)), (requested_at, request_id)) as language from parse_requests group by document_id)
+    r as (select document_id, arg_max_null(ocr_enabled, (requested_at, request_id)) as ocr_enabled, arg_max_null(lower(trim(language)), (requested_at, request_id)) as language from parse_requests group by document_id)
     select r.document_id, coalesce(per_page, 0) > 10 and not coalesce(ocr_enabled, false) and coalesce(language, 'en') <> 'ne' as digital from r left join c using (document_id)""",
 )
 def digital_detection(spark, sf_dir):
