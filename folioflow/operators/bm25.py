@@ -10,15 +10,24 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SPECIAL = (r"section\s+\d+[a-z]?", r"chapter\s+\d+", r"part\s+\d+", r"article\s+\d+", r"clause\s+\([a-z0-9]+\)", r"\d+[a-z]?")
 
 
+WORD = r"(?<![\p{L}\p{N}_])([a-z]++)(?![\p{L}\p{N}_])"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """References, then words of ASCII letters, of the lower-case text; single letters are dropped."""
-    rest = F.lower(text)
-    found = []
-    for pattern in SPECIAL:
-        found.append(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)))
-        rest = F.regexp_replace(rest, pattern, " ")
-    found.append(F.regexp_extract_all(rest, F.lit(r"(?<![\p{L}\p{N}_])([a-z]+)(?![\p{L}\p{N}_])"), F.lit(1)))
-    return F.filter(F.concat(*found), lambda t: (F.length(t) > 1) | t.rlike(r"^\d"))
+
+    def rest(text: Column, n: int, found: list[Column]) -> Column:
+        if n == len(SPECIAL):
+            return F.concat(*found, F.regexp_extract_all(text, F.lit(WORD), F.lit(1)))
+        own = F.regexp_extract_all(text, F.lit(f"({SPECIAL[n]})"), F.lit(1))
+        return _let(F.regexp_replace(text, SPECIAL[n], " "), lambda left: rest(left, n + 1, [*found, own]))
+
+    return F.filter(_let(F.lower(text), lambda t: rest(t, 0, [])), lambda t: (F.length(t) > 1) | t.rlike(r"^\d"))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -27,11 +36,12 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return own.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def statistics(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def statistics(docs: DataFrame, key: str, text: str, posted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(term, df, idf) and one row (n, avgdl). A negative idf becomes a share of the mean idf of all terms."""
-    sizes = docs.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("dl"))
-    corpus = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = postings(docs, key, text).groupBy("term").agg(F.count("*").alias("df"))
+    posted = postings(docs, key, text) if posted is None else posted
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    corpus = docs.agg(F.count("*").alias("n")).join(total, F.lit(True)).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(corpus), F.lit(True)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))
@@ -46,9 +56,11 @@ def search(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int = 10
     their terms are broadcast and cut the postings before anything is shuffled.
     """
     asked = queries.select("qid", F.explode(tokens(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    idf, corpus = statistics(docs, key, text)
+    # Tokens are the costly part; statistics and scores share one count of them.
+    posted = postings(docs, key, text).persist()
+    idf, corpus = statistics(docs, key, text, posted)
     wanted = idf.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = postings(docs, key, text).join(wanted, "term").join(F.broadcast(corpus), F.lit(True)).join(asked, "term")
+    hits = posted.join(wanted, "term").join(F.broadcast(corpus), F.lit(True)).join(asked, "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("qid", key).agg(F.sum(part).alias("score"))
     ranked = scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), key)))
