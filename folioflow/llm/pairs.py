@@ -49,6 +49,7 @@ REFUSAL = re.compile(
     |\bi(?:'|’)d\s+rather\s+not|\bi\s+would\s+rather\s+not
     |not\s+something\s+(?:that\s+)?i\s+(?:can|may|am)|outside\s+(?:of\s+)?(?:what\s+i|my)|beyond\s+(?:my|what\s+i)|off[\s-]limits\s+for\s+me
     |(?:my|our)\s+(?:policy|policies|guidelines|instructions|rules)\s+(?:prevents?|forbids?|prohibits?|do(?:es)?\s+not\s+allow)
+    |(?:not\s+(?:be\s+)?(?:appropriate|possible|right)|inappropriate|impossible)\s+for\s+(?:me|us)\s+to
     |nothing\s+in\s+(?:my|the)\s+(?:sources|documents|index)|no\s+(?:answer|reply|response)\s+can\s+be\s+(?:offered|given|provided)
     |(?:documents?|sources|sections|context)\s+(?:\w+\s+){0,3}?(?:do|does)\s+not\s+(?:mention|contain|say|cover)
     |no\s+(?:relevant\s+)?(?:results?|information|documents?|sections?|matches)\s+(?:\w+\s+){0,2}?(?:found|available|matched)

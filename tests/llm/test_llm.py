@@ -198,6 +198,7 @@ def test_empty(answer, want):
         ("I'm sorry, but I can't help with that request. Is there anything else you would like to know?", True),
         ("Regrettably, my policy prevents a reply, so please rephrase.", True),
         ("I could not find anything relevant in the indexed sections.", True),
+        ("It would not be appropriate for me to comment on this matter.", True),
         ("माफ गर्नुहोस्, म यस प्रश्नको उत्तर दिन सक्दिनँ।", True),
         ("I'm sorry to say the fee is not refundable: the bank loses Rs. 5 once the form is late.", False),
         ("The Tribunal cannot refuse the bank guarantee if it is complete.", False),
