@@ -22,4 +22,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from . import answers, pages, search, texts, usage  # noqa: E402, F401
+from . import answers, layout, pages, search, texts, usage  # noqa: E402, F401
