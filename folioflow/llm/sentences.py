@@ -174,6 +174,8 @@ def _breaks(text: str, start: int, at: int, end: int) -> bool:
     script = _script(text, start, at)
     if script == LATIN and not (tail.isascii() and after.isascii()):
         tail, after = fold(tail), fold(after)
+        if len(before) < 40:
+            before = tail = fold(before)
     for rule in CASCADES[script]:
         if rule.after.match(after) and rule.before.search(before if rule.whole else tail):
             return rule.breaks
@@ -218,7 +220,8 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             if spaced:
                 soft = len(body) + 1 + word > 0.6 * usual
             else:
-                soft = bool(LOWER.match(lines[i + 1][2])) or len(body) + 1 + word > usual and len(inner) > 3
+                full = len(body) + 1 + word
+                soft = bool(LOWER.match(lines[i + 1][2])) or full > usual and len(inner) > 3 or full > 0.95 * width and 40 <= width <= 95 and word <= 25
         if not soft:
             yield start, b, False
             start = None
