@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,24 @@ def assemble(pages: DataFrame, text: str = "markdown") -> DataFrame:
     return pages.groupBy("document_id").agg(joined.alias("markdown"))
 
 
+def parts(pages: DataFrame, kept: Callable[[Column], Column], text: str = "markdown", pages_a_part: int = 64) -> DataFrame:
+    """(document_id, part, first_page, last_page, start_char, end_char, kept): every document in ordered parts of at most ``pages_a_part`` pages.
+
+    The parts in order, between separators, are the document's text; ``kept`` says
+    what is returned of each part's text. A group holds the texts of one part, so
+    that a long document is spread; start_char is a running sum over the sizes of
+    the document's parts, without their texts.
+    """
+    block = F.floor((F.col("page") - 1) / pages_a_part).alias("_block")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", text))), lambda p: p[text]), SEPARATOR)
+    blocks = pages.groupBy("document_id", block).agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), joined.alias("_text"))
+    own = blocks.withColumns({"kept": kept(F.col("_text")), "_n": F.length("_text").cast("long")}).drop("_text")
+    order = Window.partitionBy("document_id").orderBy("_block")
+    start = F.coalesce(F.sum(F.col("_n") + len(SEPARATOR)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = own.select("*", (F.row_number().over(order) - 1).cast("long").alias("part"), start.alias("start_char"))
+    return placed.select("document_id", "part", "first_page", "last_page", "start_char", (F.col("start_char") + F.col("_n")).alias("end_char"), "kept")
+
+
 def word_offsets(pages: DataFrame) -> DataFrame:
     """(document_id, page, word_ord, text, char_offset) from (document_id, page, markdown, words).
 

@@ -150,8 +150,8 @@ PAGES_SQL = rf"""pagetext as (select document_id, page, '## Page ' || page || ch
   (select document_id, page, line, string_agg(text, ' ' order by x0, index_sort) as t from (select * from {WORDS_SQL} where text is not null) group by all) group by document_id, page)"""
 
 
-def page_texts(spark, sf_dir):
-    w = word_table(spark, sf_dir).where("text is not null")
+def page_texts(spark, sf_dir, w=None):
+    w = (word_table(spark, sf_dir) if w is None else w).where("text is not null")
     lines = words.line_texts(w, ["document_id", "page", "line"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     return lines.groupBy("document_id", "page").agg(text.alias("t")).select("document_id", "page", offsets.page_markdown(F.col("page"), F.col("t")).alias("markdown"))
@@ -172,11 +172,19 @@ def page_offsets(spark, sf_dir):
 
 @register("document_markdown", rf"with {PAGES_SQL} select document_id, md5(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page)) as digest from pagetext where document_id not like '%compendium' group by document_id")
 def document_markdown(spark, sf_dir):
-    """Texts of the documents; one that isn't assembled yet (the compendium) is left to its pages."""
+    """Texts of the documents as the SQL states them, without the compendium; `document_parts` has every document."""
     own = page_texts(spark, sf_dir).where("document_id not like '%compendium'")
     return offsets.assemble(own).select("document_id", F.md5("markdown").alias("digest"))
 
 
+@register("document_parts")
+def document_parts(spark, sf_dir):
+    """Texts of all documents, the compendium too, in ordered parts of up to 64 pages; tested against a plain loop."""
+    # One exchange by page serves the repeated words, the lines and the pages.
+    w = read(spark, sf_dir, "ocr_words").repartition("document_id", "page").dropDuplicates(["document_id", "page", "index_sort"])
+    return offsets.parts(page_texts(spark, sf_dir, w), F.md5).withColumnRenamed("kept", "digest")
+
+
 @register("page_bbox_map", f"select document_id, page, min(char_offset) as start_char, max(char_offset + length(text)) as end_char, min(x0) as x0, min(y0) as y0, max(x2) as x2, max(y2) as y2 from {EXPLODED_SQL} group by document_id, page")
 def page_bbox_map(spark, sf_dir):
     return offsets.page_boxes(exploded(spark, sf_dir))

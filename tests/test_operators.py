@@ -62,6 +62,34 @@ def test_word_offsets_like_a_loop(spark):
     assert [r["char_offset"] for r in got] == want
 
 
+def test_parts_like_a_loop(spark):
+    texts = {("a-compendium", n): "x" * (n % 5) + str(n) for n in range(1, 12) if n != 7} | {("b", 1): "one"}
+    rows = [(d, n, t) for (d, n), t in texts.items()]
+    random.Random(1).shuffle(rows)
+    got = offsets.parts(spark.createDataFrame(rows, "document_id string, page int, markdown string"), lambda t: t, pages_a_part=4).orderBy("document_id", "part").collect()
+    for d, ranges in {"a-compendium": [(1, 4), (5, 8), (9, 11)], "b": [(1, 1)]}.items():
+        whole = offsets.SEPARATOR.join(t for (x, _), t in sorted(texts.items()) if x == d)
+        own = [r for r in got if r["document_id"] == d]
+        assert [(r["part"], r["first_page"], r["last_page"]) for r in own] == [(i, *p) for i, p in enumerate(ranges)]
+        assert [whole[r["start_char"] : r["end_char"]] for r in own] == [r["kept"] for r in own]
+        assert offsets.SEPARATOR.join(r["kept"] for r in own) == whole
+
+
+def test_document_parts_has_every_document(spark, data):
+    from folioflow.queries import QUERIES
+
+    got = QUERIES["document_parts"](spark, data).collect()
+    pages = QUERIES["page_offsets"](spark, data).groupBy("document_id").agg(F.max("end_char").alias("n")).collect()
+    ends = {}
+    for r in got:
+        ends[r["document_id"]] = max(ends.get(r["document_id"], 0), r["end_char"])
+    assert ends == {r["document_id"]: r["n"] for r in pages}
+    assert any(d.endswith("compendium") for d in ends)
+    short = {r["document_id"]: r["digest"] for r in QUERIES["document_markdown"](spark, data).collect()}
+    one = {r["document_id"]: r["digest"] for r in got if r["part"] == 0 and r["end_char"] == ends[r["document_id"]]}
+    assert all(short[d] == x for d, x in one.items() if d in short)
+
+
 def test_rotation_keeps_boxes(spark):
     df = spark.createDataFrame([word(0, "a", 0, 0, 10.0, 20.0, 30.0, 40.0)], WORDS)
     r = words.rotate(df, F.lit(90.0), F.lit(100), F.lit(100)).first()
