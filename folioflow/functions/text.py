@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 DEVANAGARI_DIGITS, ASCII_DIGITS = "०१२३४५६७८९", "0123456789"
 
 
-def squeeze(c: Column) -> Column:
+#: Fixed value: the members of a class of all white space, separators of files and records included.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def squeeze(c: Column, white: str = r"(?U)\s") -> Column:
     """Runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, rf"{white}+", " "))
 
 
 def plain_digits(c: Column) -> Column:
@@ -84,14 +88,14 @@ def short_title(c: Column) -> Column:
     return F.when(F.length(t) <= 56, t).otherwise(F.concat(F.substring(t, 1, 53), F.lit("…")))
 
 
-def without_markup(c: Column) -> Column:
+def without_markup(c: Column, line: str = r"(?m)^#+\s*", white: str = r"(?U)\s") -> Column:
     """Text without tags, bold, italics, code marks and heading marks, white space squeezed."""
     out = F.regexp_replace(c, r"<[^>]+>", "")
     out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "$1")
     out = F.regexp_replace(out, r"\*([^*]+)\*", "$1")
     out = F.regexp_replace(out, r"`([^`]+)`", "$1")
-    out = F.regexp_replace(out, r"(?m)^#+\s*", "")
-    return squeeze(out)
+    out = F.regexp_replace(out, line, "")
+    return squeeze(out, white)
 
 
 def without_punctuation(c: Column) -> Column:

@@ -23,12 +23,13 @@ def windows(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int
     return cut.select(key, "chunk_index", "start_char", F.substring(F.col(text), F.col("start_char") + 1, F.lit(size)).alias("chunk"))
 
 
-def sections(text: Column) -> Column:
+def sections(text: Column, white: str = r"\s") -> Column:
     """Pieces of a text before chapters, sections and headings; blank ones are dropped."""
     pieces = F.array(F.concat(F.lit("\n"), text))
-    for cut in (lambda p: F.split(p, CHAPTER), lambda p: F.split(p, SECTION), lambda p: F.split(p, HEADING)):
+    chapter, section, heading = (x.replace(r"\s", white) for x in (CHAPTER, SECTION, HEADING))
+    for cut in (lambda p: F.split(p, chapter), lambda p: F.split(p, section), lambda p: F.split(p, heading)):
         pieces = F.flatten(F.transform(pieces, cut))
-    return F.filter(F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
+    return F.filter(F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, rf"^{white}+|{white}+$", ""))), lambda p: p != "")
 
 
 def fit_sizes(docs: DataFrame, key: str, chunks: str, least: int = 100, most: int = 2000, keep_oversized: bool = False) -> DataFrame:

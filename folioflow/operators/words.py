@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,13 +133,12 @@ def rotate(words: DataFrame, angle: Column, width: Column, height: Column) -> Da
     )
 
 
-def key_values(lines: DataFrame, by: list[str], text: str, order: Column) -> DataFrame:
+def key_values(lines: DataFrame, by: list[str], text: str, order: Column, pattern: str = r"^([^:\n]+?):\s*(.+)$", trim: Callable[[Column], Column] = F.trim) -> DataFrame:
     """(by..., field, value): "Field: value" lines, the last one of a field counts."""
-    pattern = r"^([^:\n]+?):\s*(.+)$"
-    found = lines.where(F.col(text).rlike(pattern)).select(*by, F.lower(F.trim(F.regexp_extract(text, pattern, 1))).alias("field"), F.trim(F.regexp_extract(text, pattern, 2)).alias("value"), order.alias("_o"))
+    found = lines.where(F.col(text).rlike(pattern)).select(*by, F.lower(trim(F.regexp_extract(text, pattern, 1))).alias("field"), trim(F.regexp_extract(text, pattern, 2)).alias("value"), order.alias("_o"))
     return found.groupBy(*by, "field").agg(F.max_by("value", "_o").alias("value"))
 
 
-def break_colons(text: Column) -> Column:
+def break_colons(text: Column, digit: str = r"\d") -> Column:
     """Pieces of a word cut before and after each colon that follows no digit."""
-    return F.filter(F.split(F.regexp_replace(text, r"(?<=\D):|^:", "\u0001:\u0001"), "\u0001"), lambda p: p != "")
+    return F.filter(F.split(F.regexp_replace(text, rf"(?<=[^{digit}]):|^:", "\u0001:\u0001"), "\u0001"), lambda p: p != "")

@@ -139,9 +139,17 @@ CHECK_SQL = r"""checks as (select result_id, trim(regexp_replace(answer, '[ \t\n
 def response_checks(spark, sf_dir):
     """The sanitised answer, in one line, and what can be told from its form."""
     q = pairs(spark, sf_dir).where("answer is not null").where(~F.col("answer").rlike("[\\u000B\\u000C\\u0085\\u00A0\\u001C-\\u001F\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"))
-    a = T.squeeze(F.col("answer"))
-    c = q.select("result_id", a.alias("answer"))
-    return c.select(
+    return checks(q.select("result_id", T.squeeze(F.col("answer")).alias("answer")))
+
+
+@register("response_checks_whole")
+def response_checks_whole(spark, sf_dir):
+    """The checks of all answers, white space of any kind squeezed; tested against a plain loop."""
+    return checks(pairs(spark, sf_dir).where("answer is not null").select("result_id", T.squeeze(F.col("answer"), f"[{T.WHITE}]").alias("answer")))
+
+
+def checks(answers):
+    return answers.select(
         "result_id",
         "answer",
         F.when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", " "))).cast("long").alias("word_count"),

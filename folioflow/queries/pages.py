@@ -96,6 +96,14 @@ def kv_fields(spark, sf_dir):
     return words.key_values(d.where(~F.col("t").rlike("[\\u0000-\\u0008\\u000B-\\u001F\\u0085\\u2028\\u2029\\u00A0\\u0130]")), ["doc_id"], "t", F.col("i"))
 
 
+@register("kv_fields_whole")
+def kv_fields_whole(spark, sf_dir):
+    """"Field: value" lines of the documents, lines with control characters and any white space too; tested against a plain loop."""
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    trim = lambda c: F.regexp_replace(c, rf"\A[{T.WHITE}]+|[{T.WHITE}]+\z", "")
+    return words.key_values(d, ["doc_id"], "t", F.col("i"), rf"(?s)\A([^:\n]+?):[{T.WHITE}]*(.+)\z", trim)
+
+
 SKEW_SQL = f"select document_id, page, x0 as x_left, y2 as y_left, x2 as x_right, y2 + (index_sort % 7 - 3) * 0.001 as y_right from {WORDS_SQL} where x2 > x0"
 
 
@@ -228,6 +236,13 @@ def break_colons(spark, sf_dir):
     return w.select("document_id", "page", "index_sort", F.size(words.break_colons(F.col("text"))).cast("long").alias("pieces"))
 
 
+@register("break_colons_whole")
+def break_colons_whole(spark, sf_dir):
+    """Pieces of every word with a colon, digits of all scripts; tested against a plain loop."""
+    w = word_table(spark, sf_dir).where("contains(text, ':')")
+    return w.select("document_id", "page", "index_sort", F.size(words.break_colons(F.col("text"), r"\p{Nd}")).cast("long").alias("pieces"))
+
+
 @register("word_offsets")
 def word_offsets(spark, sf_dir):
     """Offsets of the words of boxes in their documents' contents, page by page; tested against a plain loop."""

@@ -89,6 +89,13 @@ def anchor_sanitise(spark, sf_dir):
     return d.select("document_id", T.squeeze(F.regexp_replace("t", "<!--.*?-->", "")).alias("anchor"))
 
 
+@register("anchor_sanitise_whole")
+def anchor_sanitise_whole(spark, sf_dir):
+    """All contents without comments, white space of any kind squeezed; tested against a plain loop."""
+    d = read(spark, sf_dir, "parsed_documents").where("content is not null")
+    return d.select("document_id", T.squeeze(F.regexp_replace("content", "(?d)<!--.*?-->", ""), f"[{T.WHITE}]").alias("anchor"))
+
+
 @register("normal_forms", r"""select document_id, lower(translate(left(content, 120), '.,:;()[]{}"''`।॥', '               ')) as same_length, translate(left(content, 120), '०१२३४५६७८९', '0123456789') as digits from parsed_documents where content is not null""")
 def normal_forms(spark, sf_dir):
     t = F.substring("content", 1, 120)
@@ -155,6 +162,13 @@ def section_split(spark, sf_dir):
     return p.select("doc_id", F.size("p").cast("long").alias("pieces"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
+@register("section_split_whole")
+def section_split_whole(spark, sf_dir):
+    """Sections of all documents, white space of any kind; tested against a plain loop."""
+    p = legal(spark, sf_dir).select("doc_id", chunks.sections(F.col("legal"), f"[{T.WHITE}]").alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("pieces"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
 @register("chunk_fit_sizes")
 def chunk_fit_sizes(spark, sf_dir):
     """Sections brought to 100 to 2,000 characters; an ordered fold, tested on small texts."""
@@ -347,6 +361,22 @@ def links_extract(spark, sf_dir):
     return found.groupBy("doc_id", "url").agg((F.min("i") + 1).alias("ord"))
 
 
+WHITE_SQL = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+LINK_SQL = rf"""'https?://[^{WHITE_SQL}"''<>)]+'"""
+
+
+@register(
+    "links_extract_whole",
+    f"""with l as (select doc_id, unnest(regexp_extract_all(text, {LINK_SQL})) as url, generate_subscripts(regexp_extract_all(text, {LINK_SQL}), 1) as i from documents where text is not null)
+    select doc_id, url, min(i)::int as ord from l group by doc_id, url""",
+)
+def links_extract_whole(spark, sf_dir):
+    """Distinct links of all documents with their first place; white space of any kind ends one."""
+    d = read(spark, sf_dir, "documents").where("text is not null")
+    found = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"""(https?://[^{T.WHITE}"'<>)]+)"""), F.lit(1))).alias("i", "url"))
+    return found.groupBy("doc_id", "url").agg((F.min("i") + 1).alias("ord"))
+
+
 @register("year_guess_filter", r"with y as (select document_id, nullif(regexp_extract(translate(left(content, 400), '०१२३४५६७८९', '0123456789'), '(20[0-9]{2})', 1), '')::int as year from parsed_documents) select document_id, year from y where year is not null and year >= 2050 and year <= 2075")
 def year_guess_filter(spark, sf_dir):
     """Documents whose first year lies within bounds; without a year they are left out."""

@@ -229,6 +229,14 @@ def chat_previews(spark, sf_dir):
     return q.select("result_id", F.substring(T.without_markup(F.col("answer")), 1, 120).alias("preview"))
 
 
+@register("chat_previews_whole")
+def chat_previews_whole(spark, sf_dir):
+    """Previews of all answers, white space of any kind squeezed; tested against a plain loop."""
+    q = read(spark, sf_dir, "query_results").where("use_llm and answer is not null")
+    white = f"[{T.WHITE}]"
+    return q.select("result_id", F.substring(T.without_markup(F.col("answer"), rf"(?md)^#+{white}*", white), 1, 120).alias("preview"))
+
+
 @register(
     "starred_cap",
     f"""with one as (select * from (select *, row_number() over (partition by user_id, workspace_id, query order by starred_at, id) as n from (select distinct on (id) * from starred_responses)) where n = 1),
