@@ -62,6 +62,40 @@ def test_word_offsets_like_a_loop(spark):
     assert [r["char_offset"] for r in got] == want
 
 
+def test_word_offsets_of_every_page_like_a_loop(spark):
+    box = "document_id string, page int, content string, words array<struct<text:string,char_offset:bigint>>"
+    plain, marked = "tax act levy act tax gone act levy tax", "## Page 1\ntax act\n\n---\n\n## Page 12\nno\n## Page 2\nact tax ACT\n"
+    rows = [
+        ("plain", 1, plain, [("tax", 0), ("act", None), ("levy", 8)]),
+        ("plain", 2, plain, [("act", None), ("tax", 17), ("missing", None), ("Gone", 21)]),
+        ("plain", 3, plain, [("act", 26), ("levy", 30), ("tax", 35)]),
+        ("marked", 1, marked, [("tax", None), ("act", None), ("ACT", None)]),
+        ("marked", 2, marked, [("act", None), ("act", None), ("tax", None)]),
+    ]
+    spans = {("plain", 1): (0, 12), ("plain", 2): (12, 26), ("plain", 3): (26, len(plain)), ("marked", 1): (9, marked.index("## Page 12")), ("marked", 2): (marked.index("## Page 2\n") + 9, len(marked))}
+    boxes = spark.createDataFrame(rows, box)
+    own = boxes.join(offsets.page_starts(boxes), ["document_id", "page"]).withColumn("words", F.transform("words", lambda x: x["text"]))
+    got = {(r["document_id"], r["page"], r["word_ord"]): r["char_offset"] for r in offsets.word_offsets(offsets.page_slices(own)).collect()}
+    want = {}
+    for d, page, content, ws in rows:
+        start, end = spans[d, page]
+        t, at = content[start:end], 0
+        for k, (x, _) in enumerate(ws):
+            i = t.find(x, at)
+            i = i if i >= 0 else t.lower().find(x.lower(), at)
+            want[d, page, k] = start + (i if i >= 0 else at)
+            at = i + len(x) if i >= 0 else at
+    assert got == want
+
+
+def test_word_offsets_has_every_page(spark, data):
+    from folioflow.queries import QUERIES
+
+    boxes = spark.read.parquet(f"{data}/word_bboxes.parquet").where(F.size("words") > 0)
+    got = {(r["document_id"], r["page"]) for r in QUERIES["word_offsets"](spark, data).select("document_id", "page").distinct().collect()}
+    assert got == {(r["document_id"], r["page"]) for r in boxes.select("document_id", "page").distinct().collect()}
+
+
 def test_parts_like_a_loop(spark):
     texts = {("a-compendium", n): "x" * (n % 5) + str(n) for n in range(1, 12) if n != 7} | {("b", 1): "one"}
     rows = [(d, n, t) for (d, n), t in texts.items()]
