@@ -102,6 +102,13 @@ def normal_forms(spark, sf_dir):
     return read(spark, sf_dir, "parsed_documents").where("content is not null").select("document_id", T.same_length_form(t).alias("same_length"), T.plain_digits(t).alias("digits"))
 
 
+@register("normal_forms_whole")
+def normal_forms_whole(spark, sf_dir):
+    """Normal forms of whole contents; tested against a plain loop."""
+    t = F.col("content")
+    return read(spark, sf_dir, "parsed_documents").where("content is not null").select("document_id", T.same_length_form(t).alias("same_length"), T.plain_digits(t).alias("digits"))
+
+
 COMPLETE_SQL = r"""case when trim(text) = '' then 0.0 else round(greatest(0.0, 1.0 - ((case when not regexp_matches(trim(text), '[.!?;:]$') then 0.3 else 0 end)
   + (case when length(text) - length(replace(text, '(', '')) > length(text) - length(replace(text, ')', '')) then 0.2 else 0 end)
   + (case when length(text) - length(replace(text, '[', '')) > length(text) - length(replace(text, ']', '')) then 0.1 else 0 end)
@@ -295,8 +302,8 @@ def tree_unmatched(spark, sf_dir):
 
 @register("tree_anchors")
 def tree_anchors(spark, sf_dir):
-    """Starts of the headings sought with a damaged anchor; fuzzy for those not found; tested on small texts."""
-    n = starts(spark, sf_dir).select("document_id", "line_no", F.concat(F.col("title"), F.lit("~")).alias("anchor"), F.lit("").alias("title"), F.substring("content", 1, 3000).alias("region"))
+    """Starts of the headings sought with a damaged anchor in the whole content, as their pages aren't known; fuzzy for those not found; tested on small texts."""
+    n = starts(spark, sf_dir).select("document_id", "line_no", F.concat(F.col("title"), F.lit("~")).alias("anchor"), F.lit("").alias("title"), F.col("content").alias("region"))
     return trees.anchor_places(n, "region", "title", "anchor").select("document_id", "line_no", "start_char")
 
 
@@ -384,6 +391,13 @@ def year_guess_filter(spark, sf_dir):
     return d.where("year is not null and year between 2050 and 2075")
 
 
+@register("year_guess_filter_whole")
+def year_guess_filter_whole(spark, sf_dir):
+    """Documents whose first year in the whole content lies within bounds; tested against a plain loop."""
+    d = read(spark, sf_dir, "parsed_documents").select("document_id", T.title_year(F.col("content")).cast("int").alias("year"))
+    return d.where("year is not null and year between 2050 and 2075")
+
+
 @register("keyword_filter", "select document_id from parsed_documents where contains(file_path, 'Act') or contains(lower(file_path), 'toll') or contains(lower(file_path), 'survey')")
 def keyword_filter(spark, sf_dir):
     p = F.col("file_path")

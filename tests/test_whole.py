@@ -100,3 +100,29 @@ def test_previews(spark, folder):
             t = re.sub(pattern, by, t)
         want.add((i, squeeze(t)[:120]))
     assert rows(spark, folder, "chat_previews_whole", "result_id", "preview") == want
+
+
+LONG = {"late": "अ, " * 1200 + "\n## Toll of Bridges\nसाल २०६५ and 2051", "early": "# Levy\nin 2060", "out": "x " * 300 + "1999 2049 then 2060", "none": "no year"}
+
+
+@pytest.fixture(scope="module")
+def long_folder(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("long"))
+    spark.createDataFrame(list(LONG.items()), "document_id string, content string").write.parquet(f"{at}/parsed_documents.parquet")
+    return at
+
+
+def test_anchors_late_in_a_text(spark, long_folder):
+    # The damaged anchor fits a window that begins one character before the title as well.
+    got = dict(rows(spark, long_folder, "tree_anchors", "document_id", "start_char"))
+    assert got == {"late": LONG["late"].index("Toll of Bridges") - 1, "early": 1}
+
+
+def test_normal_forms_of_whole_texts(spark, long_folder):
+    signs, digits = str.maketrans(dict.fromkeys(".,:;()[]{}\"'`।॥", " ")), str.maketrans("०१२३४५६७८९", "0123456789")
+    want = {(d, t.translate(signs).lower(), t.translate(digits)) for d, t in LONG.items()}
+    assert rows(spark, long_folder, "normal_forms_whole", "document_id", "same_length", "digits") == want
+
+
+def test_years_late_in_a_text(spark, long_folder):
+    assert rows(spark, long_folder, "year_guess_filter_whole", "document_id", "year") == {("late", 2065), ("early", 2060)}
