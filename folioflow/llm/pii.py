@@ -59,20 +59,23 @@ NAME = r"[A-Z][a-zà-ÿ]+"
 DEVA = r"[ऀ-ॣॱ-ॿ]+"
 SEP = r"(?:,[ \t]*\n?[ \t]*|[ \t]*\n[ \t]*)"
 SP = r"(?:[ \t]+|[ \t]*\n[ \t]*)"
+#: Words for ways, used by the grammar and by the gate before it.
+WAYS, D_WAYS = "Marg|Street|Road|Lane|Tole|Apartments|Chowk|Avenue|Path|Municipality", "मार्ग|टोल|गली|सडक|पथ|चोक"
+DE_WAYS, FR_WAYS, ES_WAYS = "weg|straße|strasse|gasse|platz|allee", "rue|avenue|place|chemin|boulevard", "Calle|Avenida|Plaza|Camino"
 UNIT = rf"(?:House{SP}No\.?{SP}\d+[A-Z]?|Plot{SP}(?:No\.?{SP})?\d+[A-Z]?|Flat{SP}(?:No\.?{SP})?\d*[A-Z]?\d*|Block{SP}[A-Z]\d?|P\.?[ ]?O\.?{SP}Box{SP}(?:No\.?{SP})?\d+|Ward{SP}(?:No\.?{SP})?\d+)"
-WAY = rf"(?:(?:\d+[A-Z]?(?:/\d+)?{SP})?{NAME}{SP}(?:Marg|Street|Road|Lane|Tole|Apartments|Chowk|Avenue|Path|Municipality(?:-\d+)?))"
+WAY = rf"(?:(?:\d+[A-Z]?(?:/\d+)?{SP})?{NAME}{SP}(?:(?:{WAYS})(?:(?<=Municipality)-\d+)?))"
 TOWN = rf"{NAME}(?:-\d{{1,2}})?(?:[ \t]\d{{5,6}})?"
 D_UNIT = r"(?:घर\s?नं\.?\s?\d+|वडा\s?नं\.?\s?\d+|पो\.\s?ब\.\s?नं\.?\s?\d+|मकान\s?(?:सं|नं)\.?\s?\d+(?:/\d+)?|फ्ल्याट\s?(?:नं\.?\s?)?\d+)"
-D_WAY = rf"(?:(?:\d+(?:/\d+)?\s)?{DEVA}{SP}(?:मार्ग|टोल|गली|सडक|पथ|चोक)(?:\s\d+)?|{DEVA}{SP}(?:महानगरपालिका|उपमहानगरपालिका|नगरपालिका|गाउँपालिका)-\d+)"
+D_WAY = rf"(?:(?:\d+(?:/\d+)?\s)?{DEVA}{SP}(?:{D_WAYS})(?:\s\d+)?|{DEVA}{SP}(?:महानगरपालिका|उपमहानगरपालिका|नगरपालिका|गाउँपालिका)-\d+)"
 D_TOWN = rf"{DEVA}(?:-\d{{1,2}})?(?:[ \t]\d{{5,6}})?"
 ADDRESS = re.compile(
     rf"(?<!\w)(?:(?:{UNIT}|{WAY})(?:{SEP}(?:{UNIT}|{WAY}))*(?P<town>{SEP}(?!(?:The|A|An|In|No|Name|Phone|PAN|Tel|Email|E|Address|On|At|It|If|For|Any|Every|Who|What|Since|When|Where|Contact|Copy|Dear|Mr|Ms|Dr)\b){TOWN})?"
     rf"|(?:{D_UNIT}|{D_WAY})(?:{SEP}(?:{D_UNIT}|{D_WAY}))*(?P<nagar>{SEP}{D_TOWN})?"
-    rf"|{NAME}(?:weg|straße|strasse|gasse|platz|allee){SP}\d+[a-z]?{SEP}\d{{5}}{SP}{NAME}"
-    rf"|\d+[a-z]?,?{SP}(?:rue|avenue|place|chemin|boulevard){SP}(?:d[eu]s?{SP})?{NAME}{SEP}\d{{5}}{SP}{NAME}"
-    rf"|(?:Calle|Avenida|Plaza|Camino){SP}(?:del?{SP})?{NAME}{SP}\d+{SEP}\d{{5}}{SP}{NAME})"
+    rf"|{NAME}(?:{DE_WAYS}){SP}\d+[a-z]?{SEP}\d{{5}}{SP}{NAME}"
+    rf"|\d+[a-z]?,?{SP}(?:{FR_WAYS}){SP}(?:d[eu]s?{SP})?{NAME}{SEP}\d{{5}}{SP}{NAME}"
+    rf"|(?:{ES_WAYS}){SP}(?:del?{SP})?{NAME}{SP}\d+{SEP}\d{{5}}{SP}{NAME})"
 )
-ADDRESS_NEAR = re.compile(r"House\s|Plot\s|Flat\s|Box\s|Ward\s|Marg\b|Street\b|Road\b|Lane\b|Tole\b|weg\s\d|straße\s\d|gasse\s\d|\brue\s|Calle\s|Avenida\s|घर\s?नं|वडा\s?नं|ब\.\s?नं|मकान\s|मार्ग|टोल|गली|पालिका-")
+ADDRESS_NEAR = re.compile(rf"(?:House|Plot|Flat|Block|Box|Ward|{ES_WAYS})\s|{WAYS}|(?:{DE_WAYS})\s+\d|\b(?:{FR_WAYS})\s|घर\s?नं|वडा\s?नं|ब\.\s?नं|मकान|फ्ल्याट|{D_WAYS}|पालिका-")
 
 
 def emails(text: str) -> list[tuple[int, int]]:

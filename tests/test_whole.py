@@ -126,3 +126,13 @@ def test_normal_forms_of_whole_texts(spark, long_folder):
 
 def test_years_late_in_a_text(spark, long_folder):
     assert rows(spark, long_folder, "year_guess_filter_whole", "document_id", "year") == {("late", 2065), ("early", 2060)}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Hauptplatz 3, 10115 Berlin", "Lindenallee 7, 10115 Berlin", "12 avenue Foch, 75016 Paris", "3 place Monge, 75005 Paris", "Plaza Mayor 4, 28012 Madrid", "Camino Real 4, 28012 Madrid", "Bhat Chowk", "Lalitpur Municipality-4", "Block B2", "राम सडक", "फ्ल्याट 3"],
+)
+def test_gate_of_addresses(text):
+    from folioflow.llm import pii
+
+    assert pii.ADDRESS.search(text) and pii.ADDRESS_NEAR.search(text)
