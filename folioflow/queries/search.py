@@ -70,10 +70,20 @@ def bm25_topk(spark, sf_dir):
 def bm25_filtered(spark, sf_dir):
     """The payload filter applies after scoring: statistics are those of the whole corpus."""
     docs = read(spark, sf_dir, "documents")
-    hits = bm25.search(docs, queries_of(spark, sf_dir), "doc_id", "text", k=2**31 - 1).drop("rank")
-    kept = hits.join(docs.where("lang = 'en' and source = 'gazette_weekly'").select("doc_id"), "doc_id", "left_semi")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return kept.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").select("qid", "doc_id", "score", "rank")
+    allowed = docs.where("lang = 'en' and source = 'gazette_weekly'")
+    return bm25.search(docs, queries_of(spark, sf_dir), "doc_id", "text", allowed=allowed).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(
+    "bm25_index_stats",
+    f"""with toks as (select source, {tokens_sql("coalesce(text, '')")} as terms from documents where source is not null),
+    vocabulary as (select source, count(distinct term) as terms from (select source, unnest(terms) as term from toks) group by source)
+    select source, count(*) as documents, sum(len(toks.terms))::bigint as tokens, coalesce(any_value(v.terms), 0) as terms, round(sum(len(toks.terms)) / count(*), 6) as avgdl
+    from toks left join vocabulary v using (source) group by source""",
+)
+def bm25_index_stats(spark, sf_dir):
+    """Size of the keyword index of each collection."""
+    return bm25.index_statistics(read(spark, sf_dir, "documents"), "source", "text")
 
 
 COSINE_SQL = """

@@ -2,10 +2,53 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for cut points that the session names in ``spark.checkpoint.dir``.
+
+    Where it names none, a session on one machine gets a temporary one; on a
+    cluster that is an error, as no other executor could read it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` as a written table, so that later jobs don't compute it again and lost executors don't matter.
+
+    The table lies in the shared folder and is deleted when the session's driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: int = 3) -> DataFrame:
+    """Hand the rows of a small scan to all cores before CPU-bound work.
+
+    A compressed file of a few MB holds many MB of text, so Spark reads it in fewer
+    tasks than there are cores. Beyond ``keys`` tasks a core nothing is moved.
+    """
+    wanted = keys * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
