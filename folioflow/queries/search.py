@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bm25, hybrid, vectors
+from ..operators.sizes import small
 from ..sources.tables import read
 from . import register
 
@@ -117,13 +118,16 @@ def vector_filtered_topk(spark, sf_dir):
     select qid, label, vec_id, score, rank from (select *, row_number() over (partition by qid order by score desc, vec_id) as rank from per where r <= 3) where rank <= 10""",
 )
 def vector_multi_collection(spark, sf_dir):
-    """Three points of each collection (label), then the ten best of all."""
+    """Three points of each collection (label), then the ten best of all.
+
+    The points of a collection are ranked for a query among themselves: a query is asked once for each label.
+    """
     points = read(spark, sf_dir, "embeddings")
-    labels = points.select("label").distinct()
-    asked = vector_queries(points).drop("label").join(F.broadcast(labels), F.lit(True))
-    # A query for each collection: (qid, label) pairs are numbered so that each is searched within its own.
-    numbered = asked.withColumn("own", F.col("qid") * 1_000_000 + F.col("label"))
-    hits = vectors.top_k(points, numbered.select(F.col("own").alias("qid"), "vector", "label"), 4, same="label", exclude_self=False)
+    labels = points.where("label is not null").select("label").distinct()
+    asked = vector_queries(points).drop("label")
+    # (query, label) pairs get a number of their own, so that each is searched within its label.
+    keyed = asked.join(small(labels), F.lit(True)).withColumn("code", F.col("qid") * 1_000_000 + F.col("label"))
+    hits = vectors.top_k(points, keyed.select(F.col("code").alias("qid"), "vector", "label"), 4, same="label", exclude_self=False)
     hits = hits.select(F.floor(F.col("qid") / 1_000_000).cast("long").alias("qid"), (F.col("qid") % 1_000_000).cast("int").alias("label"), "vec_id", "score").where("qid <> vec_id")
     per = hits.withColumn("r", F.row_number().over(Window.partitionBy("qid", "label").orderBy(F.desc("score"), "vec_id"))).where("r <= 3")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
