@@ -3,40 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.tables import keep, read, spread
 
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` as a written table, so that later jobs don't compute it again and lost executors don't matter.
-
-    The table is written to the shared folder that the session names in
-    ``spark.checkpoint.dir``; where it names none (tests on one machine) to a
-    temporary one.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, keys: int = 3) -> DataFrame:
-    """Hand the rows of a small scan to all cores before CPU-bound Python work.
-
-    A compressed file of a few MB holds many MB of text, so Spark reads it in
-    fewer tasks than there are cores. Beyond ``keys`` tasks a core nothing is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = keys * cores
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+__all__ = ["keep", "read", "spread", "tokenizer_path"]
 
 
 def tokenizer_path(name: str) -> str:

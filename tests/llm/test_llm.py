@@ -287,6 +287,42 @@ def test_scans(spark):
     assert scans.noisy(nulls, docs.limit(0)).count() == 0
 
 
+def test_stream_over_pages(spark):
+    """Words divided over pages, torn ones and run-together ones are mended; a paragraph goes on over a page's end."""
+    clean = "the constitution of the state shall bind the government of the land and every officer of it. " * 300
+    docs = spark.createDataFrame([("x", clean, False)], "document_id string, content string, ocr_used boolean")
+    filler = [("f", p, [(1, "every officer of the state shall bind the land"), (0, "and the government of it.")]) for p in range(1, 9)]
+    pages = [
+        ("d", 1, [(1, "the govern ment ofthe state and every officer of"), (0, "the land shall bind under the consti-")]),
+        ("d", 2, [(1, "tution of the state and every officer. The"), (0, "land shall bind")]),
+        ("d", 3, [(1, "the land."), (1, "Every officer of the state shall bind it.")]),
+    ]
+    words = scanned(spark, filler + pages)
+    got = {(r["page"], r["paragraph"]): r["text"] for r in scans.paragraphs(words, docs).where("document_id = 'd'").collect()}
+    assert got[1, 0] == "the government of the state and every officer of the land shall bind under the constitution of the state and every officer. The land shall bind the land."
+    assert got[3, 1] == "Every officer of the state shall bind it." and len(got) == 2
+    kinds = {(r["page"], r["index_sort"]): r["kind"] for r in scans.noisy(words, docs).where("document_id = 'd'").collect()}
+    assert kinds == {(1, 1): "merge", (1, 3): "split", (1, 14): "hyphen"}
+
+
+def test_furniture_is_the_same_in_a_large_corpus(spark):
+    """Heads and feet that stand on few pages are found however many other pages there are."""
+    own = [("d", p, [(1, "Road Toll Act, 2050"), (1, "the bank shall"), (0, "pay the levy"), (1, "Ministry of Finance Gazette")]) for p in range(2, 6)]
+    own += [("d", 6, [(1, "Road T0ll Act, 2050"), (1, "the bank shall"), (0, "pay the levy"), (1, "Ministry of Fimance Gazette")])]
+    few = scanned(spark, own)
+    other = spark.range(100_000).selectExpr("concat('z', id % 1000) as document_id", "cast(id div 1000 + 1 as int) as page", "explode(sequence(0, 2)) as i", "id")
+    many = other.selectExpr("document_id", "page", "i as index_sort", "i as line", "i as block", "concat('word', conv(id * 3 + i, 10, 36), 'x') as text").selectExpr(
+        "document_id", "page", "cast(index_sort as int) index_sort", "cast(line as int) line", "cast(block as int) block", "text"
+    )
+
+    def marks(words):
+        lines = scans.lone_lines(scans.pages(words))
+        return sorted((r["page"], m["index_sort"], m["kind"]) for r in scans.furniture(lines).where("document_id = 'd'").collect() for m in r["marks"])
+
+    alone = marks(few)
+    assert len(alone) == 5 * 8 and marks(few.unionByName(many)) == alone
+
+
 def test_boundaries():
     lines = [("A long line that fills the whole width of it", 0), ("and goes on to the end.", 0), ("Next paragraph that fills the whole width too", 1), ("ends here.", 1)]
     assert scans.boundaries(lines) == [True, False, True, False] and scans.boundaries([]) == []
