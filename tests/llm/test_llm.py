@@ -302,7 +302,7 @@ def test_stream_over_pages(spark):
     assert got[1, 0] == "the government of the state and every officer of the land shall bind under the constitution of the state and every officer. The land shall bind the land."
     assert got[3, 1] == "Every officer of the state shall bind it." and len(got) == 2
     kinds = {(r["page"], r["index_sort"]): r["kind"] for r in scans.noisy(words, docs).where("document_id = 'd'").collect()}
-    assert kinds == {(1, 1): "merge", (1, 3): "split", (1, 14): "hyphen"}
+    assert kinds == {(1, 1): "merge", (1, 3): "split", (1, 15): "hyphen"}
 
 
 def test_furniture_is_the_same_in_a_large_corpus(spark):
