@@ -377,7 +377,30 @@ def test_rake_meets_totals():
     ],
 )
 def test_rules(text, want):
-    assert [(text[a:b], k) for a, b, k in pii.rule_items(text)] == want
+    field = pii.Field(np.zeros((pii.FEATURES, 2), np.int64))
+    assert [(text[a:b], k) for a, b, k in field([text])[0] if k != "person"] == want
+
+
+def test_skip_edges_between_numbers():
+    """A number that bears its label once is known where it stands without; one that never does isn't."""
+    field = pii.Field(np.zeros((pii.FEATURES, 2), np.int64))
+    text = "Citizenship No. 26/6/60983 was shown. Later the clerk wrote down the number that had been shown before by the same man, 26/6/60983 again, and 31/6/11111 beside it."
+    assert [text[a:b] for a, b, k in field([text])[0] if k == "id_number"] == ["26/6/60983"] * 2
+    both = pii.propagate(np.array([2.0, 1.0]), [], [(0, 1, 30.0)])
+    weight = {(0, 0): 1, (1, 0): np.exp(2.0), (0, 1): np.exp(1.0)}
+    assert np.allclose(both, [np.log(weight[1, 0] / (1 + weight[0, 1])), np.log(weight[0, 1] / (1 + weight[1, 0]))], atol=0.05)
+
+
+def test_hashing_of_many_texts():
+    texts = ["", "a", "Sharma", "शर्मा", "a" * 40]
+
+    def slow(text):
+        h = 2166136261
+        for b in text.encode():
+            h = ((h ^ b) * 16777619) & 0xFFFFFFFF
+        return (h ^ (h >> 15)) % pii.FEATURES
+
+    assert pii.hashed(texts).tolist() == [slow(t) for t in texts]
 
 
 def test_names(spark):
