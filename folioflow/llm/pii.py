@@ -415,7 +415,7 @@ class Field:
         out += [(a, b, "address", POSTED, plain(a, b)) for a, b in addresses(text)]
         for a, b, kind, odds, form in numbers(text):
             fitted_ = self.of_shape(form)
-            out.append((a, b, kind, odds + (fitted_ if kind == "id_number" else -fitted_) * (0.5 if abs(odds) < OTHERWISE * -1 else 0.0), re.sub(r"\D", "", text[a:b].translate(_ASCII))))
+            out.append((a, b, kind, odds + (fitted_ if kind == "id_number" else -fitted_) * (0.0 if odds == OTHERWISE else 0.5), re.sub(r"\D", "", text[a:b].translate(_ASCII))))
         return out
 
     def nodes(self, text: str, found: list[re.Match], taken: list[tuple[int, int]]) -> list[tuple[int, int, float, str]]:
@@ -449,6 +449,7 @@ class Field:
         unary: list[float] = []
         edges: list[tuple[int, int, float]] = []
         apart: list[tuple[int, int, float]] = []
+        pulls: list[tuple[int, int, float]] = []
         words = [list(WORD.finditer(t)) for t in texts]
         self.learn({m.group() for own in words for m in own})
         fixed = [self.candidates(t) for t in texts]
@@ -471,17 +472,20 @@ class Field:
                 unary.append(score)
         first = len(spans)
         for d, ruled in enumerate(fixed):
-            last = {}
+            equal: dict[str, list[int]] = {}
             placed: list[tuple[int, int, int]] = []
             for start, end, kind, odds, same in ruled:
                 at = len(unary)
-                if (kind + same) in last:
-                    edges.append((last[kind + same], at, AGAIN))
-                last[kind + same] = at
+                equal.setdefault(kind + same, []).append(at)
                 apart += [(other, at, APART) for other, a, b in placed if a < end and start < b]
                 placed.append((at, start, end))
                 unary.append(odds)
-        belief = propagate(np.array(unary), edges, apart)
+            for own in equal.values():
+                # Equal candidates take from the one with the strongest evidence; lack of evidence is passed to none.
+                best = max(own, key=unary.__getitem__)
+                if unary[best] > 0:
+                    pulls += [(best, at, -AGAIN) for at in own if at != best]
+        belief = propagate(np.array(unary), edges, apart + pulls)
         persons = decode(texts, spans, belief[:first])
         out, at = [], first
         for ruled, own in zip(fixed, persons):
@@ -492,7 +496,7 @@ class Field:
 
 
 #: Log-odds of what the grammars of mail and post match; of equal candidates, and words alike in their first four letters, having one label; of overlapping ones excluding one another.
-MAILED, POSTED, AGAIN, LIKE, APART = 8.0, 6.0, 3.0, 0.3, 6.0
+MAILED, POSTED, AGAIN, LIKE, APART = 8.0, 6.0, 6.0, 0.3, 6.0
 
 
 def _field(used: np.ndarray, names: np.ndarray, words: np.ndarray) -> Field:
@@ -512,7 +516,7 @@ def chosen(ruled: list[tuple[int, int, str, float, str]], belief: np.ndarray) ->
 
 
 def propagate(unary: np.ndarray, edges: list[tuple[int, int, float]], apart: list[tuple[int, int, float]] = ()) -> np.ndarray:
-    """Beliefs (log-odds) by sum-product on a pairwise binary field: ``edges`` favour equal labels, ``apart`` not both being items."""
+    """Beliefs (log-odds) by sum-product on a pairwise binary field: ``edges`` favour equal labels, ``apart`` not both being items, or both where the weight is negative."""
     if not len(unary) or not (edges or apart):
         return unary
     a, b, j = (np.array(x) for x in zip(*edges, *apart))
