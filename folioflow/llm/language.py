@@ -344,8 +344,19 @@ def segments(docs: DataFrame, model: Model, key: str = "document_id", text: str
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+#: Models by application and folder, so that all queries of an application share one fit.
+_FITTED: dict[tuple[str, str], Model] = {}
+
+
 def model_for(spark: SparkSession, sf_dir: str) -> Model:
-    """Model from the declared languages of documents and the labels of parsed documents."""
+    """Model from the declared languages of documents and the labels of parsed documents, fitted once an application."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _FITTED:
+        _FITTED[at] = _model(spark, sf_dir)
+    return _FITTED[at]
+
+
+def _model(spark: SparkSession, sf_dir: str) -> Model:
     codes = read(spark, sf_dir, "lang_codes")
     named = labels(read(spark, sf_dir, "parse_requests"), codes)
     parsed = read(spark, sf_dir, "parsed_documents").where(~F.col("ocr_used")).join(named, "document_id")

@@ -13,21 +13,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sizes import small
 from .tables import keep, read
 from .tokens import count
 
 #: Rounds of fitting.
 ROUNDS = 30
-#: Languages and topics beyond so many of the largest count as one, so that the table of cells stays small.
-MARGIN = 50
+#: Cells that are raked at most; more are an error, never pooled. A cell is a source, language and topic that occur together.
+CELLS = 2_000_000
 
 
 def fill(sizes: dict[str, int], targets: list[tuple[str, float, int]]) -> tuple[float, dict[str, float]]:
     """Total of tokens and tokens of each source.
 
-    The total is the largest of which every source can give its share, among the
-    sources that can give at least an ordinary part: sources whose share would
-    hold the total below what the corpus has give what they can instead.
+    The total is that of the targeted sources' own tokens. A source gives its share
+    of the total, or its tokens times its limit of repeats where that is less.
     """
     wanted = [(s, share, sizes.get(s, 0) * cap) for s, share, cap in targets if share and share > 0]
     total = float(sum(n for s, n in sizes.items() if s in {w[0] for w in wanted}))
@@ -72,11 +72,13 @@ def meet(weight: np.ndarray, sizes: np.ndarray, source: np.ndarray, given: np.nd
 def plan(docs: DataFrame, targets: DataFrame) -> tuple[list[tuple], float, dict[str, float]]:
     """Rows (source, cell_lang, cell_topic, weight), the total and the tokens of each source.
 
-    The driver holds one row a cell: sources of the targets x ``MARGIN`` languages x ``MARGIN`` topics at most.
+    The driver holds one row of five values a cell, ``CELLS`` at most: every
+    language and every topic is a margin of its own.
     """
     wanted = [(r["source"], r["target_share"], r["max_repeat"] or 0) for r in targets.dropDuplicates(["source"]).where("source is not null").collect()]
-    rows = cells(docs.join(F.broadcast(targets.select("source").distinct()), "source")).collect()
-    rows = [r for r in rows if r["tokens"]]
+    rows = cells(docs.where("n_tokens > 0").join(small(targets.select("source").distinct()), "source")).limit(CELLS + 1).collect()
+    if len(rows) > CELLS:
+        raise ValueError(f"more than {CELLS} cells of source, language and topic")
     sizes: dict[str, int] = {}
     for r in rows:
         sizes[r["source"]] = sizes.get(r["source"], 0) + r["tokens"]
@@ -88,21 +90,13 @@ def plan(docs: DataFrame, targets: DataFrame) -> tuple[list[tuple], float, dict[
     source = np.array([number[r["source"]] for r in rows])
     margins = []
     for c in ("cell_lang", "cell_topic"):
-        values = sorted({r[c] for r in rows})
-        margins.append(np.array([values.index(r[c]) for r in rows]))
+        margins.append(np.unique([r[c] for r in rows], return_inverse=True)[1])
     weight = rake(
         np.array([r["tokens"] for r in rows], float), source, margins, np.array([given.get(s, 0.0) for s in names]), np.array([float(w[2]) for w in wanted])
     )
     return [(r["source"], r["cell_lang"], r["cell_topic"], float(w)) for r, w in zip(rows, weight)], total, given
 
 
-def top(docs: DataFrame, column: str, name: str) -> DataFrame:
-    """``docs`` with ``name``: the value of ``column`` if it is among the ``MARGIN`` largest, else "other"; null is "none"."""
-    value = F.coalesce(F.col(column).cast("string"), F.lit("none"))
-    large = [r["v"] for r in docs.groupBy(value.alias("v")).count().orderBy(F.desc("count"), "v").limit(MARGIN).collect()]
-    return docs.withColumn(name, F.when(value.isin(large), value).otherwise(F.lit("other")))
-
-
 def sized(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, lang, category and n_tokens of the documents with a source and a text."""
     rows = docs.where(F.col("source").isNotNull()).select("doc_id", "source", "lang", "category", "text")
@@ -110,8 +104,8 @@ def sized(docs: DataFrame, path: str | None = None) -> DataFrame:
     return count(rows.repartition(3 * cores), path).select("doc_id", "source", "lang", "category", "n_tokens")
 
 
-#: Rows of a source that are drawn in one sequence; a larger source is divided by a hash.
-SEQUENCE = 200_000
+#: Groups into which the documents of one source and size are divided, so that none holds a third of all rows.
+PARTS = 64
 
 
 def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = None) -> DataFrame:
@@ -119,35 +113,40 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, path: str | None = N
 
     Documents without a source, or with one that has no target, stay out, as do
     texts without tokens. No document is used more than its source's max_repeat
-    times. Whole uses are drawn systematically: along the documents of a source
-    in the order of their sizes, a document is used each time the sum of the
-    weights passes a whole number, so that a source's tokens come out within a
-    few documents of what is wanted. Without targets or documents the result is
-    empty.
+    times. Whole uses are drawn systematically: along the documents of a source in
+    the order of their sizes a running sum of the weights is kept, and a document is
+    used each time it passes a whole number and a half. The uses are never more than
+    half a use off the weights up to there, and sizes only grow, so a source's tokens
+    come out within one document of what is wanted. Without targets or documents the
+    result is empty.
     """
     return draw(keep(ready(docs, path)), targets, seed)
 
 
 def ready(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Sizes and cells of the documents with a source."""
-    return top(top(keep(sized(docs, path)), "lang", "cell_lang"), "category", "cell_topic")
+    """Sizes and cells of the documents with a source; a null language or topic is "none"."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    return keep(sized(docs, path)).withColumn("cell_lang", name("lang")).withColumn("cell_topic", name("category"))
 
 
 def draw(rows: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """Repeats of the documents in ``rows`` (see ``ready``)."""
+    """Repeats of the documents in ``rows`` (see ``ready``).
+
+    The running sum is made in two steps, within groups of one source, size and part
+    and over the totals of the groups, so that no task sorts a source.
+    """
     spark = rows.sparkSession
     planned, _, _ = plan(rows, targets)
-    weights = spark.createDataFrame(planned, "source string, cell_lang string, cell_topic string, weight double")
+    weights = small(spark.createDataFrame(planned, "source string, cell_lang string, cell_topic string, weight double"))
     caps = targets.dropDuplicates(["source"]).select("source", F.col("max_repeat").cast("long").alias("cap"))
-    joined = rows.where("n_tokens > 0").join(F.broadcast(weights), ["source", "cell_lang", "cell_topic"]).join(F.broadcast(caps), "source")
-    count_ = {r["source"]: r["count"] for r in rows.groupBy("source").count().join(F.broadcast(caps), "source").collect()}
-    parts = 1 + max(count_.values(), default=0) // SEQUENCE
     code = F.xxhash64("doc_id", F.lit(seed))
-    lane = [F.col("source"), F.floor(F.log2("n_tokens")), F.pmod(code, F.lit(parts))]
-    start = F.pmod(F.xxhash64(*lane, F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    summed = F.sum("weight").over(Window.partitionBy(*lane).orderBy("n_tokens", code, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = joined.withColumn("upto", summed).withColumn("start", start)
-    repeats = F.floor(F.col("upto") + F.col("start") + 1e-9) - F.floor(F.col("upto") - F.col("weight") + F.col("start") + 1e-9)
+    group = ["source", "n_tokens", "part"]
+    joined = rows.where("n_tokens > 0").join(weights, ["source", "cell_lang", "cell_topic"]).join(small(caps), "source").withColumn("part", F.pmod(code, F.lit(PARTS)))
+    own = F.sum("weight").over(Window.partitionBy(*group).orderBy(code, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("source").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    totals = joined.groupBy(*group).agg(F.sum("weight").alias("total")).withColumn("before", before).drop("total")
+    numbered = joined.withColumn("own", own).join(totals, group).withColumn("upto", F.col("own") + F.col("before"))
+    repeats = F.floor(F.col("upto") + 0.5 + 1e-9) - F.floor(F.col("upto") - F.col("weight") + 0.5 + 1e-9)
     return numbered.withColumn("repeats", F.least("cap", repeats)).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
 
 

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sizes import small
 from .language import TEMPER, Model, model_for
 from .sentences import MARKS, NEVER, _words, units
 from .tables import keep, read
@@ -148,9 +149,7 @@ class Copies:
 
     def __call__(self, query: str, answer: str) -> bool:
         q, a = _norm(query), _norm(answer)
-        if not q or not a or len(a) < 0.5 * len(q):
-            return False
-        if len(a) > 3 * len(q) + 60:
+        if not q or not a:
             return False
         allowed = lambda x: COPY_BYTES + len(x) // COPY_PER
         return self.cost(a, self.labels + b" " + ASKED.encode() + b" " + q) <= allowed(a) and self.cost(q, a) <= allowed(q)
@@ -168,11 +167,15 @@ def _tokens(text: str) -> list[str]:
 
 
 def _last(word: str) -> str:
-    return word.strip("\"'“”‘’«»()[]*_.,;:!?।॥|。！？")[-24:]
+    return word.strip("\"'“”‘’«»()[]*_.,;:!?।॥|。！？")
 
 
 def ending(answer: str) -> tuple[str, str, str]:
-    """("no" | "yes" | "ask", last two words, last word) of whether the answer breaks off."""
+    """("no" | "yes" | "ask" | "short", last two words, last word) of whether the answer breaks off.
+
+    "ask" leaves it to the counts of sentence ends; so does "short", for answers and
+    list items that need no end mark, where only a word that ends no sentence tells.
+    """
     text = CITE.sub(" ", answer)
     cut_mark = re.search(r"\[(?:C(?:I(?:T(?:E(?::\w*)?)?)?)?)?\Z", text.rstrip())
     if cut_mark and cut_mark.group() != "":
@@ -192,7 +195,7 @@ def ending(answer: str) -> tuple[str, str, str]:
     if CLOSED.search(last):
         return ("yes" if NO_END.search(last) and len(words) > 3 else "no"), "", ""
     if ITEM.match(last) and len(words) < 8 and not DANGLING.search(last):
-        return "no", "", ""
+        return "short", " ".join(map(_last, words[-2:])), _last(words[-1])
     if DANGLING.search(last) and not last.rstrip().endswith("/-"):
         return "yes", "", ""
     if last.rstrip().endswith("/-"):
@@ -200,19 +203,27 @@ def ending(answer: str) -> tuple[str, str, str]:
     if re.search(r"[぀-ヿ一-鿿]\Z", last):
         return "yes", "", ""
     if len(words) <= 4 and "\n" not in text.strip() and len(units(text)) <= 1:
-        return "no", "", ""
+        return "short", " ".join(map(_last, words[-2:])), _last(words[-1])
     return "ask", " ".join(map(_last, words[-2:])), _last(words[-1])
 
 
-def terminal_counts(pairs: DataFrame) -> DataFrame:
-    """key, n, ends: how often words, and pairs of words, occur in answers and how often they end a sentence there."""
+def terminal_counts(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, n, ends, bare: how often the ``wanted`` words, and pairs of words (key), occur in answers, and how often they end a sentence, or a short answer or list item without an end mark, there.
+
+    Wanted keys are picked before the shuffle, where they pass the check of their size.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n: Counter[str] = Counter()
             ends: Counter[str] = Counter()
+            bare: Counter[str] = Counter()
             for answer in batch["answer"]:
                 text = CITE.sub(" ", answer)
+                for line in text.strip().split("\n"):
+                    last = _tokens(line)
+                    if last and (ITEM.match(line) and len(last) < 8 or len(last) <= 4 and "\n" not in text.strip()) and not CLOSED.search(line):
+                        bare[_last(last[-1])] += 1
                 for a, b in units(text):
                     unit = text[a:b]
                     closed = bool(CLOSED.search(unit))
@@ -223,12 +234,14 @@ def terminal_counts(pairs: DataFrame) -> DataFrame:
                     n.update(keys)
                     if closed:
                         ends.update([words[-1], " ".join(words[-2:])] if len(words) > 1 else words)
-            yield pd.DataFrame({"key": list(n), "n": list(n.values()), "ends": [ends[k] for k in n]})
+            yield pd.DataFrame({"key": list(n), "n": list(n.values()), "ends": [ends[k] for k in n], "bare": [bare[k] for k in n]})
 
-    counted = pairs.where("answer is not null").select("answer").mapInPandas(run, "key string, n bigint, ends bigint")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    counted = pairs.where("answer is not null").select("answer").mapInPandas(run, "key string, n bigint, ends bigint, bare bigint")
+    return counted.join(small(wanted), "key", "left_semi").groupBy("key").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("bare").alias("bare"))
 
 
+#: A word that occurs so often and is the end of a sentence, short answer or list item less than in this share ends none.
+SURELY, NEVER_ENDS = 20, 0.02
 #: Least log-odds by which an answer is in another language than its query.
 OTHER = 6.0
 
@@ -284,15 +297,16 @@ def defects(pairs: DataFrame, model: Model) -> DataFrame:
     """
     pairs = pairs.dropDuplicates(["src", "pair_id", "query", "answer"])
     seen = keep(flags(pairs, model))
-    ask = seen.where("ending = 'ask'").select("src", "pair_id", "bigram", "word")
+    ask = seen.where("ending in ('ask', 'short')").select("src", "pair_id", "ending", "bigram", "word")
     wanted = ask.select(F.explode(F.array("bigram", "word")).alias("key")).distinct()
     # Only keys that some answer ends with are kept of the corpus's counts.
-    counts = terminal_counts(pairs).join(wanted, "key", "left_semi")
+    counts = keep(terminal_counts(pairs, wanted))
     two = counts.select(F.col("key").alias("bigram"), F.col("n").alias("n2"), F.col("ends").alias("e2"))
-    one = counts.select(F.col("key").alias("word"), F.col("n").alias("n1"), F.col("ends").alias("e1"))
+    one = counts.select(F.col("key").alias("word"), F.col("n").alias("n1"), F.col("ends").alias("e1"), F.col("bare").alias("b1"))
     # The answer's own end is one of the n that are no ends.
     rate = F.when(F.col("n2") > 1, F.col("e2") / (F.col("n2") - 1)).when(F.col("n1") > 1, F.col("e1") / (F.col("n1") - 1)).otherwise(0.0)
-    broken = ask.join(two, "bigram", "left").join(one, "word", "left").where(rate < 0.3).select("src", "pair_id", F.lit("truncated").alias("defect"))
+    never = (F.col("n1") >= SURELY) & (F.col("e1") + F.col("b1") < NEVER_ENDS * F.col("n1"))
+    broken = ask.join(two, "bigram", "left").join(one, "word", "left").where(F.when(F.col("ending") == "ask", rate < 0.3).otherwise(never)).select("src", "pair_id", F.lit("truncated").alias("defect"))
     kinds = F.filter(
         F.array(
             *(F.when(F.col(k), F.lit(k)) for k in ("empty", "refusal", "copy", "other_language")),

@@ -5,7 +5,9 @@ break divides blocks unless the line was wrapped, that is, unless the next word
 would not have fitted into the width of the document's lines. Within a block,
 places after an end mark (in Thai, after a space) are candidates; each is decided
 by the first rule that matches it in a cascade of tables: the table common to
-all, then that of the script or language before the place. A rule is a pair of
+all, then that of the script before the place, for Latin script that of the
+language of the unit up to the place, as its function words tell it. Where they
+don't tell, the abbreviations of all these languages hold. A rule is a pair of
 regular expressions for the text before and after the place.
 """
 
@@ -55,7 +57,7 @@ def _words(words: str) -> str:
 
 #: Abbreviations that never end a sentence, by language.
 NEVER = {
-    "en": "e.g i.e cf vs viz Dr Prof Mr Mrs Ms Messrs Hon Rev St Pvt para paras Rs NRs ed eds est approx fig figs sec secs subsec "
+    "en": "S e.g i.e cf vs viz Dr Prof Mr Mrs Ms Messrs Hon Rev St Pvt para paras Rs NRs ed eds est approx fig figs sec secs subsec "
     "Sec Secs Art Arts art arts ch Ch vol Vol pp cl Cl reg Reg sched Sched dept Dept Govt Gen Col Capt Lt Maj Sgt Jr ref Ref tel Tel",
     "fr": "M MM Mme Mlle Me al art Art p pp cf Cf n nº vol ex env av bd chap dir Dr Pr tél Tél",
     "de": "d.h z.B u.a i.V i.A Abs Nr S Hr Hrn Fr Dr Prof Art vgl Vgl bzw ca gem lt Ziff Bd Hrsg Str Tel inkl zzgl ggf sog evtl z.T o.g",
@@ -76,7 +78,35 @@ UP = "A-ZÀ-ÖØ-ÞА-ЯΑ-ΩＡ-Ｚ"
 #: What may begin a sentence: a capital letter, an opening sign, a provision's number.
 START = rf"[{BLANKS}\r\n{INVISIBLE}]*(?:[{OPENERS}]*[{UP}]|[{OPENERS}]|\d+[A-Z]?\.\s|§|[^\W\d_a-zß-öø-ÿ])"
 
+def _latin(*langs: str) -> list[Rule]:
+    """Rules of languages in Latin script."""
+    never, maybe = (" ".join(x[lang] for lang in langs) for x in (NEVER, MAYBE))
+    out = [_rule(False, _words(never))]
+    if "en" in langs:
+        out += [_rule(False, r"(?:^|[^\w])[Nn]os?\.", r"\s*[\d०-९]"), _rule(True, r"(?:^|[^\w])[Nn]o\.", r"\s")]
+    out += [
+        _rule(True, _words(maybe), START),
+        _rule(False, _words(maybe)),
+        _rule(False, r"(?:^|[^\w])[a-zA-Z]\.", r"\s?[a-z]\."),
+        # Initials of a name.
+        _rule(False, rf"(?:^|[\s.({INVISIBLE}])[{UP}]\.", rf"\s*[{UP}]"),
+    ]
+    if "de" in langs:  # ordinals
+        out.append(_rule(False, r"(?:^|[\s(])\d{1,2}\.", rf"\s+(?:{'|'.join(MONTHS_DE.split())})\b"))
+    return out + [
+        _rule(True, rf"[{MARKS}][{CLOSERS}{INVISIBLE}]*", r"\s"),
+        # The blank after the mark is missing.
+        _rule(True, rf"[a-zß-öø-ÿ\d%)][.!?][{CLOSERS}{INVISIBLE}]*", r"[“«„(]?[A-ZÀ-Þ][a-zß-öø-ÿ]*[\s'-]"),
+        _rule(True, r"[।॥|‖｜][" + CLOSERS + "]*"),
+    ]
+
+
 TABLES: dict[str, list[Rule]] = {
+    "en": _latin("en"),
+    "fr": _latin("fr"),
+    "de": _latin("de"),
+    "es": _latin("es"),
+    "latin": _latin("en", "fr", "de", "es"),
     "common": [
         # Marks inside a number, a name of a site, an abbreviation without blanks.
         _rule(False, r"\.", r"[^\sA-ZÀ-Þऀ-ॿ\u3000-鿿“«„(]"),
@@ -88,22 +118,6 @@ TABLES: dict[str, list[Rule]] = {
         # What is quoted or bracketed goes on with a word of the same sentence.
         _rule(False, rf"[{CLOSERS}][{INVISIBLE}]*", rf"[{BLANKS}\r\n{INVISIBLE}]*[a-zß-öø-ÿ,;:،、，；：]"),
     ],
-    "latin": [
-        _rule(False, _words(" ".join(NEVER[x] for x in ("en", "fr", "de", "es")))),
-        _rule(False, r"(?:^|[^\w])[Nn]os?\.", r"\s*[\d०-९]"),
-        _rule(True, r"(?:^|[^\w])[Nn]o\.", r"\s"),
-        _rule(True, _words(" ".join(MAYBE[x] for x in ("en", "fr", "de", "es"))), START),
-        _rule(False, _words(" ".join(MAYBE[x] for x in ("en", "fr", "de", "es")))),
-        _rule(False, r"(?:^|[^\w])[a-zA-Z]\.", r"\s?[a-z]\."),
-        # Initials of a name.
-        _rule(False, rf"(?:^|[\s.({INVISIBLE}])[{UP}]\.", rf"\s*[{UP}]"),
-        # German ordinals.
-        _rule(False, r"(?:^|[\s(])\d{1,2}\.", rf"\s+(?:{'|'.join(MONTHS_DE.split())})\b"),
-        _rule(True, rf"[{MARKS}][{CLOSERS}{INVISIBLE}]*", r"\s"),
-        # The blank after the mark is missing.
-        _rule(True, rf"[a-zß-öø-ÿ\d%)][.!?][{CLOSERS}{INVISIBLE}]*", r"[“«„(]?[A-ZÀ-Þ][a-zß-öø-ÿ]*[\s'-]"),
-        _rule(True, r"[।॥|‖｜][" + CLOSERS + "]*"),
-    ],
     "deva": [
         _rule(False, _words(NEVER["deva"] + " " + MAYBE["deva"])),
         _rule(False, r"(?:^|[^\w])[ऀ-ॿ][ा-्ँ-ः]*\.[ऀ-ॿ]{1,3}\."),
@@ -127,6 +141,25 @@ TABLES: dict[str, list[Rule]] = {
 
 #: The cascade of each script.
 CASCADES = {name: TABLES["common"] + rules for name, rules in TABLES.items()}
+#: Frequent words that only one of the languages has.
+FUNCTION_WORDS = {
+    "en": "the of and is shall be by with from this that which was are must or not for an may its under",
+    "fr": "le les et est une dans pour que qui par sur au aux du sont ne pas cette doit ou être son",
+    "de": "der die das und ist ein eine nicht mit von zu den dem des im auf für wird werden sind hat oder nach",
+    "es": "el los las y una por para con del al se es su lo más este debe o ser son están como",
+}
+_LANGUAGE_OF = {w: lang for lang, own in FUNCTION_WORDS.items() for w in own.split()}
+_LOWER_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+
+
+def latin_language(text: str) -> str:
+    """The language of a text in Latin script by its function words; "latin" if fewer than two tell or none leads two to one."""
+    n = {"en": 0, "fr": 0, "de": 0, "es": 0}
+    for w in _LOWER_WORD.findall(text):
+        if lang := _LANGUAGE_OF.get(w):
+            n[lang] += 1
+    (best, most), (_, second) = sorted(n.items(), key=lambda x: -x[1])[:2]
+    return best if most >= 2 and most >= 2 * second else "latin"
 
 #: A candidate: end marks with what closes after them, or a blank between Thai letters.
 CANDIDATE = re.compile(
@@ -135,7 +168,7 @@ CANDIDATE = re.compile(
 )
 #: Spans that a break never divides; an unclosed sign opens none.
 SPANS = re.compile(
-    r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"]*\"|\([^()]{0,400}\)|（[^（）]{0,400}）|\[[^\[\]]{0,200}\]"
+    r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"]*\"|\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]"
 )
 #: Cyrillic and Greek letters that look like Latin ones; invisible characters.
 PLAIN = str.maketrans("аеорсухіјѕһԁԛԝАВЕКМНОРСТХІЈЅοναΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTXIJSovaABEZHIKMNOPTYX") | dict.fromkeys(
@@ -146,7 +179,7 @@ LATIN, DEVA, CJK, THAI = "latin", "deva", "cjk", "thai"
 
 def _script(text: str, start: int, end: int) -> str:
     """Table of the last letter before ``end``."""
-    for i in range(end - 1, max(start, end - 40) - 1, -1):
+    for i in range(end - 1, start - 1, -1):
         c = text[i]
         if c.isalpha() or "ऀ" <= c <= "ॿ" or "฀" <= c <= "๿":
             if "ऀ" <= c <= "ॿ":
@@ -168,7 +201,7 @@ def fold(text: str) -> str:
 
 def _breaks(text: str, start: int, at: int, end: int) -> bool:
     """What the cascade says of the place ``at`` in the unit that began at ``start``."""
-    before = text[start:at] if at - start < 400 else "~ " + text[at - 200 : at]
+    before = text[start:at]
     after = text[at : min(at + 40, end)]
     tail = before[-TAIL:]
     script = _script(text, start, at)
@@ -176,7 +209,7 @@ def _breaks(text: str, start: int, at: int, end: int) -> bool:
         tail, after = fold(tail), fold(after)
         if len(before) < 40:
             before = tail = fold(before)
-    for rule in CASCADES[script]:
+    for rule in CASCADES[latin_language(before) if script == LATIN else script]:
         if rule.after.match(after) and rule.before.search(before if rule.whole else tail):
             return rule.breaks
     return False
@@ -188,7 +221,9 @@ RULE_LINE = re.compile(r"[ \t]*(?:-{3,}|\*{3,}|_{3,}|={3,})[ \t]*\Z")
 ITEM = re.compile(r"[ \t]*(?:#{1,6}\s|[-*•·]\s)")
 ENDED = re.compile(rf"[{MARKS}][{CLOSERS}{INVISIBLE}\s]*\Z")
 LOWER = re.compile(rf"[\s{INVISIBLE}]*[a-zß-öø-ÿ,;)]")
-#: Lines of texts wrapped by a program are no wider.
+#: Scripts that are wrapped at any letter.
+UNSPACED = re.compile("[\u0e00-\u0e7f\u3000-\u303f\uff00-\uffef\u3040-\u30ff\u4e00-\u9fff\uf900-\ufaff]")
+#: Wrapped lines are no wider; a wider line is a paragraph of its own, and tells nothing of the others.
 WIDEST = 110
 
 
@@ -200,10 +235,12 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             body = m.group().rstrip("\r\n")
             lines.append((m.start(), m.start() + len(body), body.rstrip()))
     blank = [not body.strip() or bool(RULE_LINE.match(body)) for _, _, body in lines]
-    width = max((len(body) for _, _, body in lines), default=0)
+    width = max((len(body) for _, _, body in lines if len(body) <= WIDEST), default=0)
     spaced = any(blank[1:-1])
-    inner = sorted(len(x[2]) for x, here, after in zip(lines, blank, blank[1:] + [True]) if not here and not after)
-    usual = inner[len(inner) // 2] if inner else 0
+    inner = sorted(len(x[2]) for x, here, after in zip(lines, blank, blank[1:] + [True]) if not here and not after and len(x[2]) <= WIDEST)
+    wide = any(len(body) > WIDEST for _, _, body in lines)
+    # Beside wide lines, which weren't wrapped, only what fills the others' width counts as wrapped.
+    usual = width if wide else inner[len(inner) // 2] if inner else 0
     start: int | None = None
     for i, (a, b, body) in enumerate(lines):
         if blank[i]:
@@ -213,11 +250,13 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             continue
         if start is None:
             start = a
-        soft = i + 1 < len(lines) and not blank[i + 1] and width <= WIDEST and not ITEM.match(lines[i + 1][2])
+        soft = i + 1 < len(lines) and not blank[i + 1] and max(len(body), len(lines[i + 1][2])) <= WIDEST and not ITEM.match(lines[i + 1][2])
         if soft and not ENDED.search(body):
             # A short line without an end mark is a heading, or the end of a paragraph.
             word = len(lines[i + 1][2].split(None, 1)[0])
-            if spaced:
+            if wide and UNSPACED.match(lines[i + 1][2].lstrip()):
+                word = 1
+            if spaced or wide:
                 soft = len(body) + 1 + word > 0.6 * usual
             else:
                 full = len(body) + 1 + word

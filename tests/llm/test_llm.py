@@ -225,8 +225,8 @@ def test_copy(answer, want):
 @pytest.mark.parametrize(
     "answer, want",
     [
-        ("The fee is due. The bank must,", "yes"), ("It was fixed at Rs.", "yes"), ("The officer noted: “It is incomplete.", "yes"), ("The fee is due.", "no"), ("186 days", "no"),
-        ("Conditions:\n- a valid licence\n- payment of NPR 500", "no"), ("The fee is due. [CITE:c3].", "no"), ("The levy on tea was raised by the", "ask"), ("The fee is due. The ba…", "yes"),
+        ("The fee is due. The bank must,", "yes"), ("It was fixed at Rs.", "yes"), ("The officer noted: “It is incomplete.", "yes"), ("The fee is due.", "no"), ("186 days", "short"), ("The rate of", "short"),
+        ("Conditions:\n- a valid licence\n- payment of NPR 500", "short"), ("The fee is due. [CITE:c3].", "no"), ("The levy on tea was raised by the", "ask"), ("The fee is due. The ba…", "yes"),
         ("Er sagte: „Sie steht fest“, und ging. [CITE:c2][CITE:c4]", "no"),
     ],
 )
@@ -234,6 +234,13 @@ def test_ending(answer, want):
     assert pairs.ending(answer)[0] == want
 
 
+def test_copies_of_any_length():
+    copies = pairs.Copies()
+    query = "Which papers does a trader need for the transit of refined sugar?"
+    assert copies(query, " ".join([query] * 5)) and copies(query, query.lower()) and not copies(query, "Papers.")
+    assert not copies(query, query + " A trader needs a transit permit, which the customs office gives on request, and the invoice of the goods.")
+
+
 def test_pairs_table(spark):
     codes = spark.createDataFrame([("en", "eng", "English", "Latin"), ("ne", "nep", "Nepali", "Devanagari")], "lang string, code3 string, name_en string, script string")
     texts = [("The Board shall pay the levy on tea and jute in the month of May.", "en"), ("करदाताले विवरण पेश गर्नु पर्नेछ र दस्तुर बुझाउनु पर्छ।", "ne")] * 20
@@ -247,6 +254,19 @@ def test_pairs_table(spark):
     assert pairs.defects(df.limit(0), model).count() == 0
 
 
+def test_wide_lines_tell_nothing_of_wrapped_ones():
+    wrapped = "The board shall fix the levy on all goods that are brought into the land\nfrom any other land. The bank shall pay it to the registrar of the office in\nthe month of May."
+    wide = "Every trader who brings goods into the land from any other land shall state the quantity, the value and the place of loading."
+    assert len(wide) > sentences.WIDEST
+    assert len(sentences.units(wrapped)) == 2 and len(sentences.units(wrapped + "\n" + wide)) == 3
+
+
+def test_abbreviations_hold_in_their_language():
+    german = "Die Frist ist nicht von der Behörde und dem Amt in Abs. Die Gebühr ist fällig."
+    english = "The width of the box and the depth of the hole were drawn in the abs. The fee is due."
+    assert len(sentences.units(german)) == 1 and len(sentences.units(english)) == 2
+
+
 # --- scans ------------------------------------------------------------------
 
 
@@ -341,6 +361,10 @@ def test_mix(spark):
     used = mixing.mix(with_clashes(docs), targets)
     rep = {r["source"]: r for r in mixing.report(used, sized, targets).collect()}
     assert abs(rep["big"]["reached_share"] / rep["mid"]["reached_share"] - 0.5 / 0.3) < 0.05
+    sizes = {s: r["available_tokens"] for s, r in rep.items()}
+    _, given = mixing.fill(sizes, [(r["source"], r["target_share"], r["max_repeat"]) for r in targets.collect()])
+    largest = {r["source"]: r["m"] for r in sized.groupBy("source").agg(F.max("n_tokens").alias("m")).collect()}
+    assert all(abs(rep[s]["tokens"] - given[s]) <= largest[s] for s in ("big", "mid", "small"))
     assert rep["gone"]["tokens"] == 0 and set(rep) == {"big", "mid", "small", "gone"}
     assert used.join(targets, "source").where("repeats > max_repeat").count() == 0
     assert used.where("source is null or doc_id >= 5000").count() == 0 and used.count() == used.select("doc_id").distinct().count()
