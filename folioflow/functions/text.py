@@ -88,14 +88,18 @@ def short_title(c: Column) -> Column:
     return F.when(F.length(t) <= 56, t).otherwise(F.concat(F.substring(t, 1, 53), F.lit("…")))
 
 
-def without_markup(c: Column, line: str = r"(?m)^#+\s*", white: str = r"(?U)\s") -> Column:
-    """Text without tags, bold, italics, code marks and heading marks, white space squeezed."""
+#: Fixed value: the same class in the SQL that states results.
+WHITE_SQL = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def without_markup(c: Column) -> Column:
+    """Text without tags, bold, italics, code marks and heading marks wherever they stand, white space squeezed."""
     out = F.regexp_replace(c, r"<[^>]+>", "")
-    out = F.regexp_replace(out, r"\*\*([^*]+)\*\*", "$1")
-    out = F.regexp_replace(out, r"\*([^*]+)\*", "$1")
+    out = F.regexp_replace(out, r"\*\*([^\n]+?)\*\*", "$1")
+    out = F.regexp_replace(out, r"\*([^\n]+?)\*", "$1")
     out = F.regexp_replace(out, r"`([^`]+)`", "$1")
-    out = F.regexp_replace(out, line, "")
-    return squeeze(out, white)
+    out = F.regexp_replace(out, rf"#{{1,6}}[{WHITE}]", "")
+    return squeeze(out, f"[{WHITE}]")
 
 
 def without_punctuation(c: Column) -> Column:
@@ -141,27 +145,27 @@ def _open(c: Column, left: str, right: str) -> Column:
 
 
 def completeness(c: Column) -> Column:
-    """1 less what is missing: an end mark, closing brackets, a closing quote, a list item's text."""
-    t = F.trim(c)
+    """1 less what is missing: an end mark, closing brackets, a closing quote, the text of a numbered item."""
+    t = F.regexp_replace(c, rf"[{WHITE}]+\z", "")
     lost = (
-        F.when(~t.rlike(r"[.!?;:]$"), 0.3).otherwise(0.0)
+        F.when(~t.rlike(r"[.!?;:]\z"), 0.3).otherwise(0.0)
         + F.when(_open(c, "(", ")"), 0.2).otherwise(0.0)
         + F.when(_open(c, "[", "]"), 0.1).otherwise(0.0)
         + F.when(_open(c, "{", "}"), 0.1).otherwise(0.0)
         + F.when(_count(c, '"') % 2 == 1, 0.1).otherwise(0.0)
-        + F.when(t.rlike(r"\n\s*(?:\d+|[a-z])[.)]$"), 0.2).otherwise(0.0)
+        + F.when(t.rlike(rf"\n[{WHITE}]*\p{{Nd}}+[.)]\z"), 0.2).otherwise(0.0)
     )
     return F.when(t == "", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - lost), 6))
 
 
 def coherence(c: Column) -> Column:
-    """From 0.5: varied words, mentions of sections."""
-    tokens = F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
+    """From 1: less for words that hardly repeat or more than three different sections, more for repetition and several mentions of sections; 0.5 for short texts."""
+    tokens = F.filter(F.split(F.lower(c), rf"[{WHITE}]+"), lambda x: x != "")
     n = F.size(tokens)
     ratio = F.size(F.array_distinct(tokens)) / F.greatest(n, F.lit(1))
-    mentions = F.regexp_extract_all(c, F.lit(r"(Section \d+)"), F.lit(1))
+    mentions = F.regexp_extract_all(c, F.lit(rf"(?i)Section[{WHITE}]+(\p{{Nd}}+)"), F.lit(1))
     score = (
-        F.lit(0.7)
+        F.lit(1.0)
         + F.when(ratio > 0.9, -0.2).when(ratio < 0.6, 0.1).otherwise(0.0)
         + F.when(F.size(mentions) > 1, 0.1).otherwise(0.0)
         + F.when(F.size(F.array_distinct(mentions)) > 3, -0.2).otherwise(0.0)

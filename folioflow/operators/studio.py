@@ -23,9 +23,9 @@ def cited(answers: DataFrame, key: str, answer: str) -> DataFrame:
 
 
 def primary(uses: DataFrame, by: str, what: str, share: float = 0.6) -> DataFrame:
-    """(by, primary, top_share): the most used value if it has at least ``share`` of the uses, else null; ties to the smaller."""
-    n = uses.groupBy(by, what).agg(F.count("*").alias("n"))
-    top = n.groupBy(by).agg(F.max_by(what, F.struct("n", F.expr(f"-hash({what})"))).alias("_top"), F.max("n").alias("_m"), F.sum("n").alias("_all"))
+    """(by, primary, top_share): the most used value if it has at least ``share`` of the uses, else null; of equally used ones that with the first use (ord)."""
+    n = uses.groupBy(by, what).agg(F.count("*").alias("n"), F.min("ord").alias("_first"))
+    top = n.groupBy(by).agg(F.max_by(what, F.struct("n", -F.col("_first"))).alias("_top"), F.max("n").alias("_m"), F.sum("n").alias("_all"))
     ratio = F.col("_m") / F.col("_all")
     return top.select(by, F.when(ratio >= share, F.col("_top")).alias("primary"), F.round(ratio, 6).alias("top_share"))
 
@@ -42,13 +42,13 @@ def context(rows: DataFrame, by: list[str], order: str, piece: Column, separator
 
 
 def error_class(message: Column) -> Column:
-    """Kind of a failure by its message."""
+    """Kind of a failure by its message; the first that fits counts."""
     low = F.lower(message)
     has = lambda *xs: F.coalesce(*[F.nullif(low.contains(x), F.lit(False)) for x in xs], F.lit(False))
     return (
-        F.when(has("rate limit", "429", "quota"), "rate_limit")
-        .when(has("timeout", "timed out", "deadline"), "timeout")
-        .when(has("unauthorized", "401", "403", "api key"), "auth")
-        .when(has("not found", "404"), "not_found")
-        .otherwise("unknown")
+        F.when(has("timeout", "timed out"), "timeout")
+        .when(has("rate limit", "quota", "429"), "rate_limit")
+        .when(has("invalid", "400"), "invalid_request")
+        .when(has("empty", "no response"), "empty_response")
+        .otherwise("api_error")
     )

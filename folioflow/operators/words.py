@@ -24,17 +24,17 @@ def clean(words: DataFrame, least: float = 0.5) -> DataFrame:
 def reset_lines(words: DataFrame, factor: float = 1.0) -> DataFrame:
     """line2 and y0 from the words' heights: from the top a new line begins 0.3 of the median height below the line's first word.
 
-    The first line's anchor is 0. The fold runs within each page by a higher-order
+    The first line has the number 0; its anchor is 0 if its first word is within that of the top. The fold runs within each page by a higher-order
     function; the order of equal tops is that of index_sort.
     """
     height = F.percentile(F.col("y2") - F.col("y0"), F.lit(0.5))
     packed = words.groupBy(*PAGE).agg(height.alias("h"), F.sort_array(F.collect_list(F.struct("y0", "index_sort", "x0"))).alias("ws"))
-    start = F.struct(F.lit(0.0).alias("key"), F.lit(0).alias("n"), F.array().cast("array<struct<index_sort:int,line2:int,y:double,x0:double>>").alias("out"))
+    start = F.struct(F.lit(0.0).alias("key"), F.lit(-1).alias("n"), F.array().cast("array<struct<index_sort:int,line2:int,y:double,x0:double>>").alias("out"))
 
     def step(acc: Column, w: Column) -> Column:
         new = (w["y0"] - acc["key"]) >= 0.3 * F.col("h") * factor
         key = F.when(new, w["y0"]).otherwise(acc["key"])
-        n = acc["n"] + F.when(new, 1).otherwise(0)
+        n = acc["n"] + F.when(new | (acc["n"] < 0), 1).otherwise(0)
         one = F.struct(w["index_sort"].alias("index_sort"), n.alias("line2"), key.alias("y"), w["x0"].alias("x0"))
         return F.struct(key.alias("key"), n.alias("n"), F.concat(acc["out"], F.array(one)).alias("out"))
 

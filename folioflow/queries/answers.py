@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import studio
+from ..operators.sizes import small
 from ..sources.tables import pairs, read
 from . import register
 
@@ -18,20 +19,20 @@ def cites(spark, sf_dir):
     return studio.cited(pairs(spark, sf_dir).where("answer is not null"), "result_id", "answer")
 
 
-@register(
-    "citations_resolve",
-    f"""with {CITES_SQL}, chunks as (select 'c' || row_number() over (order by doc_id) as cite, doc_id, left(text, 280) as quote, coalesce(nullif(category, ''), nullif(source, ''), 'unknown') as section from documents where doc_id % 50 = 0)
-    select result_id, cite, doc_id, quote, section from cites join chunks using (cite)""",
-)
-def citations_resolve(spark, sf_dir):
-    """Citations of the answers with the chunks that stand for them: c1, c2, ... number the documents divisible by 50."""
-    d = read(spark, sf_dir, "documents").where("doc_id % 50 = 0")
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id"))
+CHUNKS_SQL = "chunks as (select 'c' || doc_id as cite, doc_id, source, left(text, 280) as quote, coalesce(nullif(category, ''), nullif(source, ''), 'unknown') as section from documents)"
+
+
+def chunks(spark, sf_dir):
+    """Every document as the chunk that its number cites."""
     section = F.coalesce(F.nullif("category", F.lit("")), F.nullif("source", F.lit("")), F.lit("unknown"))
-    # Only the ids are numbered in one window; the texts join afterwards.
-    ids = d.select("doc_id").withColumn("cite", F.concat(F.lit("c"), n.cast("string")))
-    chunks = ids.join(d.select("doc_id", F.substring("text", 1, 280).alias("quote"), section.alias("section")), "doc_id")
-    return cites(spark, sf_dir).join(chunks, "cite").select("result_id", "cite", "doc_id", "quote", "section")
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("cite"), "doc_id", "source", F.substring("text", 1, 280).alias("quote"), section.alias("section"))
+
+
+@register("citations_resolve", f"with {CITES_SQL}, {CHUNKS_SQL} select result_id, cite, doc_id, quote, section from cites join chunks using (cite)")
+def citations_resolve(spark, sf_dir):
+    """Citations of the answers with the chunks that they cite: c1 is the document 1."""
+    return cites(spark, sf_dir).join(chunks(spark, sf_dir), "cite").select("result_id", "cite", "doc_id", "quote", "section")
 
 
 @register("citation_counts", f"with {CITES_SQL} select result_id, count(cite) as citations, case when count(cite) = 0 then 'low' when count(cite) >= 3 then 'high' else 'medium' end as confidence from (select result_id from query_results where use_llm) left join cites using (result_id) group by result_id")
@@ -43,11 +44,14 @@ def citation_counts(spark, sf_dir):
 
 @register(
     "primary_document",
-    f"""with {CITES_SQL}, n as (select result_id, cite, count(*) as n from cites group by all) select result_id, round(max(n)::double / sum(n), 6) as top_share, case when max(n)::double / sum(n) >= 0.6 then max(cite) end as "primary" from n group by result_id""",
+    f"""with {CITES_SQL}, {CHUNKS_SQL}, n as (select result_id, source, count(*) as n, min(ord) as f from cites join chunks using (cite) where source is not null group by all),
+    best as (select *, row_number() over (partition by result_id order by n desc, f) as r, sum(n) over (partition by result_id) as total from n)
+    select result_id, round(n::double / total, 6) as top_share, case when n::double / total >= 0.6 then source end as "primary" from best where r = 1""",
 )
 def primary_document(spark, sf_dir):
-    """The document that carries at least 0.6 of an answer's citations, if one does."""
-    return studio.primary(cites(spark, sf_dir), "result_id", "cite")
+    """The source that at least 0.6 of an answer's cited chunks belong to, if one does."""
+    uses = cites(spark, sf_dir).join(chunks(spark, sf_dir).where("source is not null").select("cite", "source"), "cite")
+    return studio.primary(uses, "result_id", "source")
 
 
 HITS_SQL = """hits as (select user_id as qid, strategy as doc_id, result_id as hit, chunks_retrieved / 10.0 as score from query_results where user_id is not null and chunks_retrieved is not null)"""
@@ -124,53 +128,68 @@ def studio_scope(spark, sf_dir):
     return q.select("user_id", F.array_join("t", ",").alias("types_used"), (F.size("t") > 1).alias("cross_domain"))
 
 
-@register("studio_classify", "select d.doc_id, d.category from documents d where category in (select distinct category from documents where doc_id % 50 = 0)")
+@register(
+    "studio_classify",
+    "with n as (select category, count(*) as n from documents where category is not null group by category) select doc_id, category from documents where category in (select category from n where n >= (select avg(n) from n))",
+)
 def studio_classify(spark, sf_dir):
-    """Catalogue entries that a selector chose: here the categories of the documents divisible by 50."""
-    d = read(spark, sf_dir, "documents")
-    chosen = d.where("doc_id % 50 = 0").select("category").distinct()
-    return d.join(F.broadcast(chosen), "category", "left_semi").select("doc_id", "category")
+    """Catalogue entries that a selector chose: here the categories with at least the mean number of documents."""
+    d = read(spark, sf_dir, "documents").where("category is not null")
+    n = d.groupBy("category").agg(F.count("*").alias("n"))
+    chosen = n.join(n.agg(F.avg("n").alias("mean")), F.col("n") >= F.col("mean")).select("category")
+    return d.join(small(chosen), "category", "left_semi").select("doc_id", "category")
 
 
-CHECK_SQL = r"""checks as (select result_id, trim(regexp_replace(answer, '[ \t\n\r]+', ' ', 'g')) as a from query_results where use_llm and answer is not null and not regexp_matches(answer, '[\x{0B}\x{0C}\x{85}\x{A0}\x{1C}-\x{1F}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]'))"""
+SAFE_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace(answer, '{T.WHITE_SQL}+', ' ', 'g'), '\\.{{{{3,}}}}', '...', 'g'), '([.!?])([A-Z])', '\\1 \\2', 'g'), ' ')".replace("{{", "{").replace("}}", "}")
+CHECK_SQL = f"checks as (select result_id, {SAFE_SQL} as a from query_results where use_llm and answer is not null)"
+CHECKS_SQL = rf"""with {CHECK_SQL} select result_id, a as answer, case when a = '' then 0 else len(string_split(a, ' ')) end as word_count,
+  regexp_matches(a, '(?i)(?:section|act|chapter|article) +\p{{Nd}}|\[.*?act.*?\]|\(.*?section.*?\)') as has_citations,
+  a <> '' and (regexp_matches(a, '[.!?:)}}\]]\z') or length(a) < 50) as complete,
+  regexp_matches(a, '^\p{{Nd}}+\. |^[-*] |^#{{1,6}} |\*\*.*?\*\*|_.*?_') as formatted from checks"""
 
 
-@register("response_checks", f"with {CHECK_SQL} select result_id, a as answer, case when a = '' then 0 else len(string_split(a, ' ')) end as word_count, contains(a, '[CITE:') as has_citations, regexp_matches(a, '[.!?।\\])]$') as complete, regexp_matches(a, '\\*\\*|^- | - ') as formatted from checks")
+@register("response_checks", CHECKS_SQL)
 def response_checks(spark, sf_dir):
     """The sanitised answer, in one line, and what can be told from its form."""
-    q = pairs(spark, sf_dir).where("answer is not null").where(~F.col("answer").rlike("[\\u000B\\u000C\\u0085\\u00A0\\u001C-\\u001F\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"))
-    return checks(q.select("result_id", T.squeeze(F.col("answer")).alias("answer")))
+    return checks(pairs(spark, sf_dir).where("answer is not null").select("result_id", safe(F.col("answer")).alias("answer")))
 
 
-@register("response_checks_whole")
+@register("response_checks_whole", CHECKS_SQL)
 def response_checks_whole(spark, sf_dir):
-    """The checks of all answers, white space of any kind squeezed; tested against a plain loop."""
-    return checks(pairs(spark, sf_dir).where("answer is not null").select("result_id", T.squeeze(F.col("answer"), f"[{T.WHITE}]").alias("answer")))
+    """The same as ``response_checks``, which once left rows out; tested against a plain loop."""
+    return response_checks(spark, sf_dir)
+
+
+def safe(answer):
+    """White space squeezed, runs of dots as three, a blank between an end mark and a capital."""
+    one = F.regexp_replace(F.regexp_replace(answer, f"[{T.WHITE}]+", " "), r"\.{3,}", "...")
+    return F.trim(F.regexp_replace(one, r"([.!?])([A-Z])", "$1 $2"))
 
 
 def checks(answers):
+    a = F.col("answer")
     return answers.select(
         "result_id",
         "answer",
-        F.when(F.col("answer") == "", 0).otherwise(F.size(F.split("answer", " "))).cast("long").alias("word_count"),
-        F.contains("answer", F.lit("[CITE:")).alias("has_citations"),
-        F.col("answer").rlike(r"[.!?।\])]$").alias("complete"),
-        F.col("answer").rlike(r"\*\*|^- | - ").alias("formatted"),
+        F.when(a == "", 0).otherwise(F.size(F.split("answer", " "))).cast("long").alias("word_count"),
+        a.rlike(r"(?i)(?:section|act|chapter|article) +\p{Nd}|\[.*?act.*?\]|\(.*?section.*?\)").alias("has_citations"),
+        ((a != "") & (a.rlike(r"[.!?:)}\]]\z") | (F.length(a) < 50))).alias("complete"),
+        a.rlike(r"^\p{Nd}+\. |^[-*] |^#{1,6} |\*\*.*?\*\*|_.*?_").alias("formatted"),
     )
 
 
-ERROR_SQL = "case event_type when 'view' then 'HTTP 429: rate limit' when 'click' then 'Deadline timed out' when 'signup' then '403 unauthorized' when 'purchase' then 'document not found' else 'boom ' || event_id end"
+ERROR_SQL = "case event_type when 'view' then 'HTTP 429: rate limit' when 'click' then 'Deadline timed out' when 'signup' then 'Invalid argument' when 'purchase' then 'Empty candidates' else 'boom ' || event_id end"
 
 
 @register(
     "error_classify",
-    f"""select event_id, case when contains(m, 'rate limit') or contains(m, '429') or contains(m, 'quota') then 'rate_limit' when contains(m, 'timeout') or contains(m, 'timed out') or contains(m, 'deadline') then 'timeout'
-    when contains(m, 'unauthorized') or contains(m, '401') or contains(m, '403') or contains(m, 'api key') then 'auth' when contains(m, 'not found') or contains(m, '404') then 'not_found' else 'unknown' end as kind from (select event_id, lower({ERROR_SQL}) as m from events)""",
+    f"""select event_id, case when contains(m, 'timeout') or contains(m, 'timed out') then 'timeout' when contains(m, 'rate limit') or contains(m, 'quota') or contains(m, '429') then 'rate_limit'
+    when contains(m, 'invalid') or contains(m, '400') then 'invalid_request' when contains(m, 'empty') or contains(m, 'no response') then 'empty_response' else 'api_error' end as kind from (select event_id, lower({ERROR_SQL}) as m from events)""",
 )
 def error_classify(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     t = F.col("event_type")
-    message = F.when(t == "view", "HTTP 429: rate limit").when(t == "click", "Deadline timed out").when(t == "signup", "403 unauthorized").when(t == "purchase", "document not found").otherwise(F.concat(F.lit("boom "), F.col("event_id").cast("string")))
+    message = F.when(t == "view", "HTTP 429: rate limit").when(t == "click", "Deadline timed out").when(t == "signup", "Invalid argument").when(t == "purchase", "Empty candidates").otherwise(F.concat(F.lit("boom "), F.col("event_id").cast("string")))
     return e.select("event_id", studio.error_class(message).alias("kind"))
 
 

@@ -15,13 +15,13 @@ LEGAL_SQL = """(select doc_id, 'Chapter ' || doc_id % 9 || chr(10) || 'Section '
   from documents where text is not null)"""
 
 
-def legal(spark, sf_dir):
+def legal(spark, sf_dir, *more):
     d = read(spark, sf_dir, "documents").where("text is not null")
     head = F.concat(
         F.lit("Chapter "), (F.col("doc_id") % 9).cast("string"), F.lit("\nSection "), (F.col("doc_id") % 40).cast("string"), F.when(F.col("doc_id") % 3 == 0, "A").otherwise(""),
         F.lit(" of Income Tax Act "), (2058 + F.col("doc_id") % 25).cast("string"), F.lit("\n"),
     )
-    return d.select("doc_id", F.concat(head, "text").alias("legal"))
+    return d.select("doc_id", F.concat(head, "text").alias("legal"), *more)
 
 
 YEAR_SQL = r"nullif(regexp_extract(legal, '\b(20[0-9][0-9])\b', 1), '')"
@@ -109,18 +109,18 @@ def normal_forms_whole(spark, sf_dir):
     return read(spark, sf_dir, "parsed_documents").where("content is not null").select("document_id", T.same_length_form(t).alias("same_length"), T.plain_digits(t).alias("digits"))
 
 
-COMPLETE_SQL = r"""case when trim(text) = '' then 0.0 else round(greatest(0.0, 1.0 - ((case when not regexp_matches(trim(text), '[.!?;:]$') then 0.3 else 0 end)
+COMPLETE_SQL = r"""case when rtext = '' then 0.0 else round(greatest(0.0, 1.0 - ((case when not regexp_matches(rtext, '[.!?;:]\z') then 0.3 else 0 end)
   + (case when length(text) - length(replace(text, '(', '')) > length(text) - length(replace(text, ')', '')) then 0.2 else 0 end)
   + (case when length(text) - length(replace(text, '[', '')) > length(text) - length(replace(text, ']', '')) then 0.1 else 0 end)
   + (case when length(text) - length(replace(text, '{', '')) > length(text) - length(replace(text, '}', '')) then 0.1 else 0 end)
   + (case when (length(text) - length(replace(text, '"', ''))) % 2 = 1 then 0.1 else 0 end)
-  + (case when regexp_matches(trim(text), '\n\s*(?:[0-9]+|[a-z])[.)]$') then 0.2 else 0 end))), 6) end"""
-COHERE_SQL = r"""case when length(text) < 50 or len(w) < 10 then 0.5 else round(greatest(0.0, least(1.0, 0.7 + (case when r > 0.9 then -0.2 when r < 0.6 then 0.1 else 0 end)
+  + (case when regexp_matches(rtext, '\n@W@*\p{Nd}+[.)]\z') then 0.2 else 0 end))), 6) end""".replace("@W@", T.WHITE_SQL)
+COHERE_SQL = r"""case when length(text) < 50 or len(w) < 10 then 0.5 else round(greatest(0.0, least(1.0, 1.0 + (case when r > 0.9 then -0.2 when r < 0.6 then 0.1 else 0 end)
   + (case when len(m) > 1 then 0.1 else 0 end) + (case when len(list_distinct(m)) > 3 then -0.2 else 0 end))), 6) end"""
-TOKENS_SQL = r"(select *, len(list_distinct(w))::double / greatest(len(w), 1) as r from (select doc_id, text, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w, regexp_extract_all(text, '(Section [0-9]+)', 1) as m from documents where text is not null))"
+TOKENS_SQL = r"(select *, len(list_distinct(w))::double / greatest(len(w), 1) as r from (select doc_id, text, list_filter(regexp_split_to_array(lower(text), '@W@+'), lambda x: x <> '') as w, regexp_extract_all(text, '(?i)Section@W@+(\p{Nd}+)', 1) as m, regexp_replace(text, '@W@+\z', '') as rtext from documents where text is not null))".replace("@W@", T.WHITE_SQL)
 
 
-@register("chunk_completeness", f"select doc_id, ({COMPLETE_SQL})::double as completeness from documents where text is not null")
+@register("chunk_completeness", f"select doc_id, ({COMPLETE_SQL})::double as completeness from {TOKENS_SQL}")
 def chunk_completeness(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.completeness(F.col("text")).alias("completeness"))
 
@@ -143,8 +143,11 @@ def metadata_richness(spark, sf_dir):
     select doc_id, round(0.4 * a::double + 0.3 * b::double + 0.3 * c::double + 1e-9, 3) as quality from q join m using (doc_id)""",
 )
 def chunk_quality(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.completeness(F.col("text")).alias("a"), T.coherence(F.col("text")).alias("b"))
-    return d.join(metadata_richness(spark, sf_dir), "doc_id").select("doc_id", F.round(0.4 * F.col("a") + 0.3 * F.col("b") + 0.3 * F.col("richness") + 1e-9, 3).alias("quality"))
+    """Weighted score of completeness, coherence and metadata of each text, in one pass."""
+    head = legal(spark, sf_dir, "text")
+    c = F.col("legal")
+    rich = T.richness(T.act_name(c), T.section_numbers(c), T.chapter_numbers(c), T.first_year(c))
+    return head.select("doc_id", F.round(0.4 * T.completeness(F.col("text")) + 0.3 * T.coherence(F.col("text")) + 0.3 * rich + 1e-9, 3).alias("quality"))
 
 
 @register(

@@ -40,11 +40,13 @@ def test_reset_lines_like_a_loop(spark):
     rows = [(*r[:9], r[7] + 0.02, *r[10:]) for r in rows]
     got = {r["index_sort"]: r["line2"] for r in words.reset_lines(spark.createDataFrame(rows, WORDS)).collect()}
     high = statistics.median(r[9] - r[7] for r in rows)
-    key, n, want = 0.0, 0, {}
+    key, lines, want = 0.0, [], {}
     for y, i in sorted((r[7], r[2]) for r in rows):
         if y - key >= 0.3 * high * 1.0:
-            key, n = y, n + 1
-        want[i] = n
+            key = y
+        if key not in lines:
+            lines.append(key)
+        want[i] = lines.index(key)
     assert got == want
 
 

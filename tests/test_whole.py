@@ -88,20 +88,22 @@ def test_sections(spark, folder):
 def test_responses(spark, folder):
     want = set()
     for i, t in enumerate(DIRTY, 1):
-        a = squeeze(t)
-        want.add((i, a, len(a.split(" ")) if a else 0, "[CITE:" in a, bool(re.search(r"[.!?।\])]$", a)), bool(re.search(r"\*\*|^- | - ", a))))
+        a = re.sub(r"([.!?])([A-Z])", r"\1 \2", re.sub(r"\.{3,}", "...", re.sub(r"\s+", " ", t))).strip()
+        want.add((i, a, len(a.split(" ")) if a else 0, any(re.search(x, a, re.I) for x in CITED), bool(a) and (a[-1] in ".!?:)}]" or len(a) < 50), any(re.search(x, a) for x in FORMATTED)))
     assert rows(spark, folder, "response_checks_whole", "result_id", "answer", "word_count", "has_citations", "complete", "formatted") == want
 
 
 def test_previews(spark, folder):
     want = set()
     for i, t in enumerate(DIRTY, 1):
-        for pattern, by in ((r"<[^>]+>", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"`([^`]+)`", r"\1"), (r"(?m)^#+\s*", "")):
+        for pattern, by in ((r"<[^>]+>", ""), (r"\*\*(.+?)\*\*", r"\1"), (r"\*(.+?)\*", r"\1"), (r"`([^`]+)`", r"\1"), (r"#{1,6}\s", "")):
             t = re.sub(pattern, by, t)
         want.add((i, squeeze(t)[:120]))
     assert rows(spark, folder, "chat_previews_whole", "result_id", "preview") == want
 
 
+CITED = (r"Section\s+\d+", r"Act\s+\d+", r"Chapter\s+\d+", r"Article\s+\d+", r"\[.*?Act.*?\]", r"\(.*?Section.*?\)")
+FORMATTED = (r"^\d+\.\s", r"^[-*]\s", r"^#{1,6}\s", r"\*\*.*?\*\*", r"_.*?_")
 LONG = {"late": "अ, " * 1200 + "\n## Toll of Bridges\nसाल २०६५ and 2051", "early": "# Levy\nin 2060", "out": "x " * 300 + "1999 2049 then 2060", "none": "no year"}
 
 
