@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import chunks, trees, upsert
 from ..sources.tables import read
 from . import register
+from .search import BM25_SQL, queries_of
 
 #: Legal text: documents with a chapter and section heading of their own before the text.
 LEGAL_SQL = """(select doc_id, 'Chapter ' || doc_id % 9 || chr(10) || 'Section ' || doc_id % 40 || case when doc_id % 3 = 0 then 'A' else '' end || ' of Income Tax Act ' || (2058 + doc_id % 25) || chr(10) || text as legal
@@ -305,9 +306,22 @@ def tree_unmatched(spark, sf_dir):
 
 @register("tree_anchors")
 def tree_anchors(spark, sf_dir):
-    """Starts of the headings sought with a damaged anchor in the whole content, as their pages aren't known; fuzzy for those not found; tested on small texts."""
+    """Starts of the headings sought with a damaged anchor in the whole content, as their pages aren't known; tested on small texts."""
     n = starts(spark, sf_dir).select("document_id", "line_no", F.concat(F.col("title"), F.lit("~")).alias("anchor"), F.lit("").alias("title"), F.col("content").alias("region"))
-    return trees.anchor_places(n, "region", "title", "anchor").select("document_id", "line_no", "start_char")
+    return trees.anchor_places(n, "region", "title", "anchor").select("document_id", "line_no", "start_char", "leg")
+
+
+NODE_SQL = BM25_SQL.replace("select doc_id, ", "select document_id || '#' || line_no as doc_id, ", 1).replace("coalesce(text, '')", "title").replace("from documents)", "from heads where title <> '')", 1)
+
+
+@register(
+    "section_retrieve",
+    f"with {HEAD_SQL}, {NODE_SQL} select qid, doc_id as node, score, rank from (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from scored) where rank <= 5",
+)
+def section_retrieve(spark, sf_dir):
+    """The five sections that each question leads to, of all documents' trees of headings."""
+    n = heads(spark, sf_dir).where("title <> ''").select(F.concat_ws("#", "document_id", F.col("line_no").cast("string")).alias("node"), "title", F.lit(None).cast("string").alias("summary"))
+    return trees.navigate(n, queries_of(spark, sf_dir), "node").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register(
