@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import layout, upsert
+from ..operators import highlights, layout, upsert
 from ..sources.tables import WORDS_SQL, read
 from ..sources.tables import words as word_table
 from . import register
@@ -93,3 +93,30 @@ def tree_chunks(spark, sf_dir):
     """Parts of the contents for building trees; tested on long texts."""
     d = read(spark, sf_dir, "parsed_documents").where("content is not null")
     return d.select("document_id", F.inline(layout.tree_parts(F.col("content"))))
+
+
+def sections_of_pages(spark, sf_dir):
+    """Boxed pages and a section of each: it begins with the page's words 10 to 14, ends with 40 to 44 and has words 10 and 11 as its title."""
+    pages = highlights.page_words(read(spark, sf_dir, "word_bboxes"))
+    text = lambda a, n: F.array_join(F.transform(F.slice("ws", a, n), lambda w: w["text"]), " ")
+    nodes = pages.where(F.size("ws") > 44).select("document_id", F.col("page").alias("node"), text(11, 5).alias("start_text"), text(41, 5).alias("end_text"), text(11, 2).alias("title"), F.lit(None).cast("string").alias("next_title"), F.col("page").alias("first_page"), F.col("page").alias("last_page"))
+    return nodes, pages
+
+
+@register("highlight_anchored")
+def highlight_anchored(spark, sf_dir):
+    """Words from each section's start text to its end text; tested against a plain loop."""
+    return highlights.anchored(*sections_of_pages(spark, sf_dir))
+
+
+@register("highlight_titled")
+def highlight_titled(spark, sf_dir):
+    """Words under each section's title; tested against a plain loop."""
+    return highlights.titled(*sections_of_pages(spark, sf_dir))
+
+
+@register("highlight_cascade")
+def highlight_cascade(spark, sf_dir):
+    """Boxes of each section: by its anchors, else under its title."""
+    nodes, pages = sections_of_pages(spark, sf_dir)
+    return highlights.best_candidates([highlights.anchored(nodes, pages), highlights.titled(nodes, pages)])
