@@ -65,6 +65,51 @@ def act_name(c: Column) -> Column:
     return F.nullif(F.regexp_extract(head, r"((?:[A-Z][a-z]+ ){1,6}Act)\b", 1), F.lit(""))
 
 
+#: Names of acts, of which the first that a text has counts; blanks stand for any white space.
+ACTS = (
+    "Income Tax Act|Income Tax",
+    "VAT Act|Value Added Tax Act|Value Added Tax",
+    "Finance Act|Budget Act",
+    "Company Act|Companies Act",
+    "Customs Act|Customs",
+    "Excise Duty Act|Excise",
+    "Social Security Act|Social Security",
+    "Banking Act|Banking",
+    "Insurance Act|Insurance",
+    "Securities Act|Securities",
+    "Foreign Exchange Act|Foreign Exchange",
+    "Money Laundering Act|Money Laundering",
+    "Labor Act|Labour Act|Labor|Labour",
+)
+#: Last words of names of acts, and words before numbers of sections and of chapters, in Nepali.
+NEPALI_ACTS = ("ऐन", "नियमावली", "विनियम", "अध्यादेश")
+NEPALI_SECTION = "दफा|उपदफा|अनुच्छेद|खण्ड|परिच्छेद"
+NEPALI_CHAPTER = "परिच्छेद|भाग|अध्याय"
+
+
+def act_patterns(white: str) -> list[str]:
+    return [f"(?i)(?:{a})".replace(" ", f"[{white}]+") for a in ACTS]
+
+
+def act_title(content: Column, name: Column) -> Column:
+    """Name of an act: a known one in the file's name, else the file's name if it holds "act", else from the first 50 lines: a Nepali name (in texts with Devanagari), a known one, capitalised words before "Act", any run from a capital on before it. Null if none of them is there."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*\z", ""), r"(?s)^.*[/\\]", "")
+    found = lambda c, p: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(c, p, 0), rf"^[{WHITE}]+|[{WHITE}]+\z", "")), F.lit(""))
+    from_name = [found(stem, p) for p in act_patterns(WHITE)]
+    whole = F.when(F.lower(stem).contains("act"), F.initcap(squeeze(F.translate(stem, "_-", "  "), f"[{WHITE}]")))
+    head = F.array_join(F.slice(F.split(content, "\n"), 1, 50), "\n")
+    nepali = [F.when(content.rlike("[\\u0900-\\u097F]"), found(head, rf"[\u0900-\u097F{WHITE}]+{x}")) for x in NEPALI_ACTS]
+    known = [found(head, p) for p in act_patterns(WHITE)]
+    loose = [found(head, rf"[A-Z][a-z]+(?:[{WHITE}]+[A-Z][a-z]+){{0,5}}[{WHITE}]+Act"), found(head, rf"[A-Z][A-Za-z{WHITE}]{{3,30}}?[{WHITE}]+Act")]
+    return F.coalesce(*from_name, whole, *nepali, *known, *loose)
+
+
+def nepali_numbers(c: Column, words: str) -> Column:
+    """Distinct numbers after words for sections (shorter ones first) or chapters, in whatever digits."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(rf"(?:{words})[{WHITE}]*(\p{{Nd}}+)"), F.lit(1)))
+    return F.transform(F.array_sort(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda s: s["x"]) if words == NEPALI_SECTION else F.sort_array(found)
+
+
 def collection_name(c: Column) -> Column:
     """Identifier of a collection: letters, digits and underscores; unknown_act for nothing."""
     bare = F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^a-zA-Z0-9\s]", "")))

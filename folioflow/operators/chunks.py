@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: What begins a chapter or a section.
 CHAPTER = r"(?=\nChapter\s+\d+)|(?=\nPART\s+\d+)"
 SECTION = r"(?=\nSection\s+\d+)|(?=\nArt\. \d+)"
@@ -32,6 +34,60 @@ def sections(text: Column, white: str = r"\s") -> Column:
     return F.filter(F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, rf"^{white}+|{white}+$", ""))), lambda p: p != "")
 
 
+#: What begins a chapter, in this order, and then what begins a section.
+CHAPTERS = (r"(?:Chapter|Ch\.?)\s+\d+", r"(?:Part|Pt\.?)\s+\d+", r"(?:Article|Art\.?)\s+\d+", r"(?:Schedule|Sch\.?)\s+\d+", r"परिच्छेद\s+\d+", r"भाग\s+\d+", r"अध्याय\s+\d+")
+SECTIONS = (
+    r"(?:Section|Sec\.?|§)\s+\d+[A-Z]?", r"(?:Sub-section|Subsection|Sub-sec\.?)\s+\d+", r"(?:Clause|Cl\.?)\s+\([a-z0-9]+\)", r"(?:Sub-clause|Subclause)\s+\([a-z0-9]+\)",
+    r"(?:दफा|उपदफा)\s+\d+", r"अनुच्छेद\s+\d+", r"खण्ड\s+\([क-ह0-9]+\)",
+)
+
+
+def marks(white: str) -> list[str]:
+    """All beginnings of lines that divide a legal text, with a class of white space and digits of any script."""
+    return ["\n" + x.replace(r"\s", f"[{white}]").replace(r"\d", r"\p{Nd}") for x in (*CHAPTERS, *SECTIONS, r"#{1,3}\s+")]
+
+
+def legal_sections(text: Column) -> Column:
+    """Pieces of a text before each chapter, section, clause and heading of level 1 to 3 that begins a line; blank pieces are dropped, others trimmed."""
+    cut = lambda mark: lambda p: F.split(p, f"(?={mark})")
+    pieces = F.array(text)
+    for mark in marks(T.WHITE):
+        pieces = F.flatten(F.transform(pieces, cut(mark)))
+    return F.filter(F.transform(pieces, lambda p: F.regexp_replace(p, rf"^[{T.WHITE}]+|[{T.WHITE}]+\z", "")), lambda p: p != "")
+
+
+def sentence_windows(docs: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """(key, chunk_index, start_char, end_char): windows of at most ``size`` characters that end after the last end mark before a blank in their last 200 characters, if there is one.
+
+    The next window begins ``overlap`` before the end of one; the last ends with the text.
+    """
+    import re
+
+    mark = re.compile(r"[.!?](?=[ \n])")
+
+    def cut(t: str) -> Iterator[tuple[int, int]]:
+        at = 0
+        while at < len(t):
+            end = min(at + size, len(t))
+            if end < len(t):
+                low = max(at, end - min(200, end - at)) + 1
+                last = None
+                for m in mark.finditer(t, low, min(end + 2, len(t))):
+                    last = m.end() if m.start() <= end else last
+                end = last or end
+            yield at, end
+            if end == len(t):
+                return
+            at = end - overlap if end - overlap > at else end
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(k, i, a, e) for k, t in zip(b[key], b[text]) for i, (a, e) in enumerate(cut(t or ""))], columns=[key, "chunk_index", "start_char", "end_char"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, start_char bigint, end_char bigint")
+
+
 def fit_sizes(docs: DataFrame, key: str, chunks: str, least: int = 100, most: int = 2000, keep_oversized: bool = False) -> DataFrame:
     """(key, chunk_index, chunk): short chunks joined with the next, long ones divided at paragraphs and sentences.
 
@@ -75,30 +131,36 @@ def fit_sizes(docs: DataFrame, key: str, chunks: str, least: int = 100, most: in
     return docs.select(key, chunks).mapInPandas(run, f"{key} {kind}, chunk_index int, chunk string")
 
 
+#: How a definition begins.
+DEFINITIONS = (r'"[^"]+"\s+means\s+', r'"[^"]+"\s+shall\s+mean\s+', r'means\s+"[^"]+"', r'shall\s+mean\s+"[^"]+"')
+
+
 def merge_definitions(docs: DataFrame, key: str, chunks: str, most: int = 2000) -> DataFrame:
-    """(key, chunk_index, chunk): a chunk with an unfinished definition takes the following ones up to ``most`` characters.
+    """(key, chunk_index, chunk): a chunk with an unfinished definition takes the following ones, with a blank between, until it is finished or ``most`` characters long.
 
-    If the text ends before the definition does, the chunks stay as they were.
+    A definition is finished by a stop or semicolon before a line's end, a new
+    section or, once chunks are joined, a clause. If the text ends before the
+    definition does, the chunks stay as they were.
     """
     import re
 
-    begins = re.compile(r'["“][^"”]{1,60}["”]\s+means\b', re.I)
-
-    def open_(c: str) -> bool:
-        return bool(begins.search(c)) and not re.search(r"[.;।]\s*$", c)
+    begins = re.compile("|".join(DEFINITIONS), re.I)
+    ends = re.compile(r"[;.]\s*(?:\n|$)|[;.]\s*(?:Section|Chapter|Part|Article)", re.I)
+    clause = re.compile(r"[;.]\s*(?:\([a-z]\)|\([0-9]\))", re.I)
 
     def fold(own: list[str]) -> list[str]:
         out, i = [], 0
         while i < len(own):
             c, j = own[i], i + 1
-            while open_(c) and j < len(own) and len(c) + len(own[j]) + 1 <= most:
-                c, j = c + "\n" + own[j], j + 1
-            if open_(c):
-                out.append(own[i])
-                i += 1
-            else:
-                out.append(c)
-                i = j
+            if begins.search(c) and not ends.search(c):
+                done = False
+                while j < len(own) and len(c) < most and not done:
+                    c, j = c + " " + own[j], j + 1
+                    done = bool(ends.search(c) or clause.search(c))
+                if not done and j == len(own) and len(c) < most or j == i + 1:
+                    c, j = own[i], i + 1
+            out.append(c)
+            i = j
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

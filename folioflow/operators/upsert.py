@@ -37,3 +37,24 @@ def newest(rows: DataFrame, by: list[str], order: list[Column], most: Column | i
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their count: violations of a unique index."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def ledger(events: DataFrame, longest: int = 8000) -> DataFrame:
+    """(source_id, document_id, title, status, error, created_at, updated_at, ingested_at): the state of a ledger after all ``events`` in the order of their time.
+
+    events: source_id, at, seq (ties), status (in_progress, success, failed), title,
+    document_id, error. The first event of a source creates its row; each sets title,
+    status and time. Success sets the document and clears the error, failure sets the
+    error, cut to ``longest`` characters; what an event doesn't set stays.
+    """
+    order = F.struct("at", "seq")
+    ok, bad = F.col("status") == "success", F.col("status") == "failed"
+    return events.groupBy("source_id").agg(
+        F.max_by("document_id", F.when(ok, order)).alias("document_id"),
+        F.max_by("title", order).alias("title"),
+        F.max_by("status", order).alias("status"),
+        F.max_by(F.when(bad, F.left("error", F.lit(longest))), F.when(ok | bad, order)).alias("error"),
+        F.min("at").alias("created_at"),
+        F.max("at").alias("updated_at"),
+        F.max(F.when(ok, F.col("at"))).alias("ingested_at"),
+    )

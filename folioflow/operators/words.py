@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +144,43 @@ def key_values(lines: DataFrame, by: list[str], text: str, order: Column, patter
 def break_colons(text: Column, digit: str = r"\d") -> Column:
     """Pieces of a word cut before and after each colon that follows no digit."""
     return F.filter(F.split(F.regexp_replace(text, rf"(?<=[^{digit}]):|^:", "\u0001:\u0001"), "\u0001"), lambda p: p != "")
+
+
+def colon_pieces(words: DataFrame) -> DataFrame:
+    """``words`` with each word cut at its colons: text, x0, x2 and space_type of the pieces, and ``piece``, their number in the word.
+
+    A colon counts if it follows no digit or begins the word. The box is divided in
+    proportion to the characters; pieces before others get the space type 2. As
+    surveyed: a single character after the last colon is lost, and text between two
+    colons keeps the second one.
+    """
+    kind = "array<struct<text:string,x0:double,x2:double,space_type:int>>"
+
+    @F.pandas_udf(kind)
+    def cut(texts: pd.Series, lefts: pd.Series, rights: pd.Series, spaces: pd.Series) -> pd.Series:
+        out = []
+        for t, x0, x2, space in zip(texts, lefts, rights, spaces):
+            at = [m.start() for m in re.finditer(r"(?<=\D):|^:", t or "")]
+            space = None if pd.isna(space) else int(space)
+            if not at:
+                out.append([(t, x0, x2, space)])
+                continue
+            wide = (x2 - x0) / len(t)
+            box = lambda a, b, kind, x0=x0, t=t, wide=wide: (t[a:b], x0 + wide * a, x0 + wide * b, kind)
+            own = [box(0, at[0], 2)] if at[0] else []
+            for i, a in enumerate(at):
+                own.append(box(a, a + 1, 2))
+                last = i + 1 == len(at)
+                end = len(t) - 1 if last else at[i + 1]
+                if a + 1 < end:
+                    own.append(box(a + 1, end + 1, space if last else 2))
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    rest = [c for c in words.columns if c not in ("text", "x0", "x2", "space_type")]
+    return words.select(*rest, F.posexplode(cut("text", "x0", "x2", "space_type")).alias("piece", "p")).select(*rest, "piece", "p.*")
+
+
+def to_pixels(words: DataFrame, dpi: int = 72) -> DataFrame:
+    """Boxes in points as whole pixels at ``dpi``."""
+    return words.withColumns({c: F.bround(F.col(c) * dpi / 72).cast("int") for c in ("x0", "y0", "x2", "y2")})

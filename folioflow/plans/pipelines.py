@@ -57,3 +57,28 @@ def retrieve(docs: DataFrame, queries: DataFrame, key: str, text: str, k: int =
     fused = hybrid.fuse(vector, keyword, 20)
     hits = fused.join(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(text).alias("text")), "chunk_id").join(queries, "qid")
     return hybrid.rerank(hits, k, hybrid.overlap(F.col("query"), F.col("text"))).select("qid", "chunk_id", "rerank_score", "score", "rank")
+
+
+def _chunks(content: Column) -> Column:
+    """How many windows of 1,000 characters with an overlap of 200 a text has."""
+    n = F.length(content)
+    return F.when(content.isNull() | (F.trim(content) == ""), 0).when(n <= 1000, 1).otherwise(F.ceil((n - 1000) / 800) + 1).cast("long")
+
+
+def ingest(docs: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, status, error, chunks): outcome of each document of a run; null contents weren't extracted, blank ones are empty."""
+    c = F.col(content)
+    error = F.when(c.isNull(), "No content extracted").when(F.trim(c) == "", "Empty markdown supplied")
+    return docs.select(key, F.when(error.isNull(), "success").otherwise("failed").alias("status"), error.alias("error"), _chunks(c).alias("chunks"))
+
+
+def totals(docs: DataFrame, by: Column, content: str, pages: str) -> DataFrame:
+    """(collection, documents, failed, pages, characters, chunks) of a batch, by collection."""
+    c = F.col(content)
+    return docs.groupBy(by.alias("collection")).agg(
+        F.count("*").alias("documents"),
+        F.count(F.when(c.isNull() | (F.trim(c) == ""), 1)).alias("failed"),
+        F.sum(F.coalesce(F.col(pages), F.lit(0))).cast("long").alias("pages"),
+        F.sum(F.coalesce(F.length(c), F.lit(0))).cast("long").alias("characters"),
+        F.sum(_chunks(c)).cast("long").alias("chunks"),
+    )

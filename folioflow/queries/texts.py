@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks, trees, upsert
+from ..plans import pipelines
+from ..sources import files
 from ..sources.tables import read
 from . import register
 from .search import BM25_SQL, queries_of
@@ -194,6 +196,64 @@ def chunk_definitions(spark, sf_dir):
     return chunks.merge_definitions(d, "doc_id", "pieces").select("doc_id", "chunk_index", F.length("chunk").alias("n"))
 
 
+MARKED_SQL = "chr(1) || content"
+for _mark in chunks.marks(T.WHITE_SQL[1:-1]):
+    MARKED_SQL = f"regexp_replace({MARKED_SQL}, '({_mark})', chr(1) || '\\1', 'g')"
+
+
+@register(
+    "section_split_legal",
+    f"""select document_id, len(p) as pieces, md5(array_to_string(p, '|')) as digest from (select document_id, list_filter(list_transform(string_split({MARKED_SQL}, chr(1)), lambda x: regexp_replace(x, '^{T.WHITE_SQL}+|{T.WHITE_SQL}+\\z', '', 'g')), lambda x: x <> '') as p from parsed_documents where content is not null)""",
+)
+def section_split_legal(spark, sf_dir):
+    """Contents before each chapter, section, clause and heading, in English and Nepali."""
+    p = read(spark, sf_dir, "parsed_documents").where("content is not null").select("document_id", chunks.legal_sections(F.col("content")).alias("p"))
+    return p.select("document_id", F.size("p").cast("long").alias("pieces"), F.md5(F.array_join("p", "|")).alias("digest"))
+
+
+@register("chunk_sentence_windows")
+def chunk_sentence_windows(spark, sf_dir):
+    """Windows that end with a sentence where one ends near; an ordered fold, tested against a plain loop."""
+    return chunks.sentence_windows(read(spark, sf_dir, "documents").where("length(text) > 0"), "doc_id", "text")
+
+
+def _found_sql(c: str, pattern: str) -> str:
+    return f"nullif(regexp_replace(regexp_extract({c}, '{pattern}'), '^{T.WHITE_SQL}+|{T.WHITE_SQL}+\\z', '', 'g'), '')"
+
+
+_W = T.WHITE_SQL[1:-1]
+ACT_TITLE_SQL = "coalesce(" + ", ".join([
+    *(_found_sql("stem", p) for p in T.act_patterns(_W)),
+    f"case when contains(lower(stem), 'act') then array_to_string(list_transform(string_split(trim(regexp_replace(translate(stem, '_-', '  '), '{T.WHITE_SQL}+', ' ', 'g')), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') end",
+    *(f"case when regexp_matches(content, '[\\x{{0900}}-\\x{{097F}}]') then {_found_sql('head', f'[\\x{{0900}}-\\x{{097F}}{_W}]+{x}')} end" for x in T.NEPALI_ACTS),
+    *(_found_sql("head", p) for p in T.act_patterns(_W)),
+    _found_sql("head", f"[A-Z][a-z]+(?:[{_W}]+[A-Z][a-z]+){{0,5}}[{_W}]+Act"),
+    _found_sql("head", f"[A-Z][A-Za-z{_W}]{{3,30}}?[{_W}]+Act"),
+]) + ")"
+
+
+@register(
+    "meta_act_title",
+    f"""select document_id, {ACT_TITLE_SQL} as act_name from (select document_id, content, array_to_string(string_split(content, chr(10))[1:50], chr(10)) as head,
+    regexp_replace(regexp_replace(file_path, '\\.[^.]*\\z', ''), '(?s)^.*[/\\\\]', '') as stem from parsed_documents)""",
+)
+def meta_act_title(spark, sf_dir):
+    """Names of acts by file name, then by content."""
+    return read(spark, sf_dir, "parsed_documents").select("document_id", T.act_title(F.col("content"), F.col("file_path")).alias("act_name"))
+
+
+@register(
+    "meta_nepali",
+    f"""select document_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(content, '(?:{T.NEPALI_SECTION}){T.WHITE_SQL}*(\\p{{Nd}}+)', 1)), lambda x: (length(x), x))), lambda p: p[2]), ',') as sections,
+    array_to_string(list_sort(list_distinct(regexp_extract_all(content, '(?:{T.NEPALI_CHAPTER}){T.WHITE_SQL}*(\\p{{Nd}}+)', 1))), ',') as chapters from parsed_documents where regexp_matches(content, '[\\x{{0900}}-\\x{{097F}}]')""",
+)
+def meta_nepali(spark, sf_dir):
+    """Numbers of sections and chapters of contents in Devanagari."""
+    c = F.col("content")
+    d = read(spark, sf_dir, "parsed_documents").where(c.rlike("[\\u0900-\\u097F]"))
+    return d.select("document_id", F.array_join(T.nepali_numbers(c, T.NEPALI_SECTION), ",").alias("sections"), F.array_join(T.nepali_numbers(c, T.NEPALI_CHAPTER), ",").alias("chapters"))
+
+
 # --- trees ------------------------------------------------------------------
 
 LINES_SQL = "(select document_id, unnest(string_split(content, chr(10))) as text, generate_subscripts(string_split(content, chr(10)), 1) - 1 as line_no from parsed_documents where content is not null)"
@@ -472,3 +532,52 @@ def document_structure(spark, sf_dir):
 def requests_latest(spark, sf_dir):
     r = read(spark, sf_dir, "parse_requests").where("requested_at is not null").select("document_id", "request_id", "requested_at").distinct()
     return upsert.latest(r, ["document_id"], [F.desc("requested_at"), F.desc("request_id")])
+
+
+LEDGER_EVENTS_SQL = """(select document_id as source_id, received_at as t, request_id as seq, case request_id % 3 when 0 then 'in_progress' when 1 then 'success' else 'failed' end as status, file_type as title,
+  case when request_id % 3 = 1 then document_id end as document_id, case when request_id % 3 = 2 then file_url end as error from (select distinct document_id, received_at, request_id, file_type, file_url from parse_requests))"""
+
+
+@register(
+    "ledger_upserts",
+    f"""select source_id, arg_max(document_id, row(t, seq)) filter (status = 'success') as document_id, arg_max_null(title, row(t, seq)) as title, arg_max(status, row(t, seq)) as status,
+    arg_max_null(case when status = 'failed' then left(error, 8000) end, row(t, seq)) filter (status <> 'in_progress') as error, min(t) as created_at, max(t) as updated_at, max(t) filter (status = 'success') as ingested_at from {LEDGER_EVENTS_SQL} group by source_id""",
+)
+def ledger_upserts(spark, sf_dir):
+    """The ledger after every request, taken as one event each, has been written to it."""
+    r = read(spark, sf_dir, "parse_requests").select("document_id", "received_at", "request_id", "file_type", "file_url").distinct()
+    kind = F.col("request_id") % 3
+    e = r.select(
+        F.col("document_id").alias("source_id"), F.col("received_at").alias("at"), F.col("request_id").alias("seq"), F.when(kind == 0, "in_progress").when(kind == 1, "success").otherwise("failed").alias("status"),
+        F.col("file_type").alias("title"), F.when(kind == 1, F.col("document_id")).alias("document_id"), F.when(kind == 2, F.col("file_url")).alias("error"),
+    )
+    return upsert.ledger(e)
+
+
+@register(
+    "ingest_run",
+    """select document_id, case when content is null or trim(content) = '' then 'failed' else 'success' end as status, case when content is null then 'No content extracted' when trim(content) = '' then 'Empty markdown supplied' end as error,
+    case when content is null or trim(content) = '' then 0 when length(content) <= 1000 then 1 else ceil((length(content) - 1000) / 800.0)::bigint + 1 end as chunks from parsed_documents""",
+)
+def ingest_run(spark, sf_dir):
+    """Outcome of each document of an ingest run; what can't be ingested is a row with its error."""
+    return pipelines.ingest(read(spark, sf_dir, "parsed_documents"), "document_id", "content")
+
+
+@register(
+    "ingest_totals",
+    """select coalesce(collection_name, 'none') as collection, count(*) as documents, count(*) filter (content is null or trim(content) = '') as failed, sum(coalesce(page_count, 0))::bigint as pages, sum(coalesce(length(content), 0))::bigint as characters,
+    sum(case when content is null or trim(content) = '' then 0 when length(content) <= 1000 then 1 else ceil((length(content) - 1000) / 800.0)::bigint + 1 end)::bigint as chunks from parsed_documents group by 1""",
+)
+def ingest_totals(spark, sf_dir):
+    """Totals of a batch by collection."""
+    d = read(spark, sf_dir, "parsed_documents")
+    return pipelines.totals(d, F.coalesce("collection_name", F.lit("none")), "content", "page_count")
+
+
+@register("pdf_links", "select document_id, 0 as ord, 'https://docs.example' || file_path as url from parsed_documents where lower(file_path) like '/%.pdf'")
+def pdf_links(spark, sf_dir):
+    """Links to PDF files on a page made of each document's path."""
+    d = read(spark, sf_dir, "parsed_documents").where("file_path like '/%'")
+    html = F.concat(F.lit('<a href="#top">up</a> <a href="'), "file_path", F.lit('">file</a> <a href="'), "file_path", F.lit('">again</a> <a href="javascript:go()">x.pdf</a>'))
+    return files.pdf_links(d.select("document_id", html.alias("html"), F.lit("https://docs.example/lib").alias("at")), "document_id", "html", "at")

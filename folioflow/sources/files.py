@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +123,41 @@ def ordered_files(files: DataFrame, document: str) -> DataFrame:
 def with_ordinal(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     """ord: place within ``by``."""
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+
+
+def pdf_links(pages: DataFrame, key: str, html: str, address: str) -> DataFrame:
+    """(key, ord, url): absolute addresses of the links to PDF files of each page, each once, in order.
+
+    Links within the page and scripts are skipped; the path decides, without its case, query or fragment.
+    """
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin, urlparse
+
+    class Anchors(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            href = dict(attrs).get("href") if tag == "a" else None
+            if href and href.strip():
+                self.found.append(href.strip())
+
+    @F.pandas_udf("array<string>")
+    def links(texts: pd.Series, bases: pd.Series) -> pd.Series:
+        out = []
+        for text, base in zip(texts, bases):
+            parser = Anchors()
+            parser.found = []
+            parser.feed(text or "")
+            full = [urljoin((base or "").rstrip("/") + "/", h) for h in parser.found if not h.startswith(("#", "javascript:"))]
+            out.append(list(dict.fromkeys(u for u in full if urlparse(u).path.lower().endswith(".pdf"))))
+        return pd.Series(out, dtype=object)
+
+    return pages.select(key, F.posexplode(links(html, address)).alias("ord", "url"))
+
+
+def hosted_pdfs(html: Column, host: str) -> Column:
+    """Addresses of PDF files on a host, bare or as the value of a script's variable pdf, each once, in order: uploads, other media, then embedded ones."""
+    import re
+
+    at = re.escape(f"https://{host}")
+    bare = [F.regexp_extract_all(html, F.lit(rf"(?i)({at}/media/{part}/[^\s\"'<>]+\.pdf)"), F.lit(1)) for part in ("pdf_upload", "pdf")]
+    embedded = F.regexp_extract_all(html, F.lit(rf"(?i)var\s+pdf\s*=\s*['\"]({at}/media/pdf/[^'\"]+\.pdf)['\"]"), F.lit(1))
+    return F.array_distinct(F.concat(*bare, embedded))
