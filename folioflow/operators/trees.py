@@ -22,6 +22,19 @@ def depth_first(nodes: DataFrame, by: list[str], path: str = "path") -> DataFram
     return nodes.withColumn("id", (F.row_number().over(Window.partitionBy(*by).orderBy(path)) - 1).cast("long"))
 
 
+def depth_first_within(nodes: DataFrame, prefix: int, path: str = "path") -> DataFrame:
+    """id of each node of one large tree in depth-first order, from 0.
+
+    Nodes are numbered among those that share the first ``prefix`` numbers of their
+    path, and then over the counts of these groups, so that no task sorts the tree.
+    """
+    own = nodes.withColumn("_top", F.slice(path, 1, prefix))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = own.groupBy("_top").count().withColumn("_before", before).drop("count")
+    at = F.row_number().over(Window.partitionBy("_top").orderBy(path)) - 1
+    return own.withColumn("id", at).join(counts, "_top").withColumn("id", (F.col("id") + F.col("_before")).cast("long")).drop("_top", "_before")
+
+
 def heading_stack(lines: DataFrame) -> DataFrame:
     """(document_id, line_no, level, title, parent_line): nodes from Markdown headings, each under the last heading of a higher level.
 

@@ -27,11 +27,12 @@ def merge(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str]) -> D
     return joined.select(*cols)
 
 
-def newest(rows: DataFrame, by: list[str], order: list[Column], most: Column | int) -> DataFrame:
-    """The newest rows of each ``by``, up to ``most``; a negative number means all."""
-    most = F.lit(most) if isinstance(most, int) else most
+def newest(rows: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+    """The newest rows of each ``by``, up to ``most``; a negative number means all. Rows beyond a limit are dropped before the shuffle."""
+    if most < 0:
+        return rows
     w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where((most < 0) | (F.col("_n") <= most)).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
 
 def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

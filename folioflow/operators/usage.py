@@ -43,9 +43,9 @@ def daily_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), "action").agg(F.sum("amount").alias("amount"))
 
 
-def last_days(counters: DataFrame, users: DataFrame, end: str, days: int) -> DataFrame:
+def last_days(counters: DataFrame, users: DataFrame, end: Column, days: int) -> DataFrame:
     """(user_id, date, amount): every day up to ``end`` for every user, zeros where nothing was counted."""
-    calendar = F.explode(F.sequence(F.date_sub(F.to_date(F.lit(end)), days - 1), F.to_date(F.lit(end)))).alias("day")
+    calendar = F.explode(F.sequence(F.date_sub(F.to_date(end), days - 1), F.to_date(end))).alias("day")
     grid = users.select("user_id").distinct().select("user_id", calendar).withColumn("date", F.date_format("day", "yyyy-MM-dd")).drop("day")
     sums = counters.groupBy("user_id", "date").agg(F.sum("amount").alias("amount"))
     return grid.join(sums, ["user_id", "date"], "left").fillna(0, ["amount"])

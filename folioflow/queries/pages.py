@@ -84,26 +84,26 @@ def page_bbox(spark, sf_dir):
     return w.agg(F.coalesce(F.min("x0"), F.lit(0.0)).alias("x0"), F.coalesce(F.min("y0"), F.lit(0.0)).alias("y0"), F.coalesce(F.max("x2"), F.lit(1.0)).alias("x2"), F.coalesce(F.max("y2"), F.lit(1.0)).alias("y2"), F.count("text").alias("words"))
 
 
-@register(
-    "kv_fields",
-    r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
-    f as (select doc_id, i, lower(trim(regexp_extract(t, '^([^:\n]+?):\s*(.+)$', 1))) as field, trim(regexp_extract(t, '^([^:\n]+?):\s*(.+)$', 2)) as value from l where regexp_matches(t, '^([^:\n]+?):\s*(.+)$') and not regexp_matches(t, '[\x{0}-\x{8}\x{B}-\x{1F}\x{85}\x{2028}\x{2029}\x{A0}\x{130}]'))
-    select doc_id, field, arg_max(value, i) as value from f group by doc_id, field""",
-)
-def kv_fields(spark, sf_dir):
-    """"Field: value" lines of the documents; lines with control characters are left out."""
-    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
-    return words.key_values(d.where(~F.col("t").rlike("[\\u0000-\\u0008\\u000B-\\u001F\\u0085\\u2028\\u2029\\u00A0\\u0130]")), ["doc_id"], "t", F.col("i"))
+KV_SQL = rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents where text is not null),
+    f as (select doc_id, i, lower(regexp_replace(regexp_extract(t, '(?s)\A([^:\n]+?):{T.WHITE_SQL}*(.+)\z', 1), '\A{T.WHITE_SQL}+|{T.WHITE_SQL}+\z', '', 'g')) as field,
+      regexp_replace(regexp_extract(t, '(?s)\A([^:\n]+?):{T.WHITE_SQL}*(.+)\z', 2), '\A{T.WHITE_SQL}+|{T.WHITE_SQL}+\z', '', 'g') as value from l where regexp_matches(t, '(?s)\A([^:\n]+?):{T.WHITE_SQL}*(.+)\z'))
+    select doc_id, field, arg_max(value, i) as value from f group by doc_id, field"""
 
 
-@register("kv_fields_whole")
-def kv_fields_whole(spark, sf_dir):
-    """"Field: value" lines of the documents, lines with control characters and any white space too; tested against a plain loop."""
+@register("kv_fields", KV_SQL)
+def kv_fields(spark, sf_dir):
+    """"Field: value" lines of the documents, lines with control characters and any white space too."""
     d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
     trim = lambda c: F.regexp_replace(c, rf"\A[{T.WHITE}]+|[{T.WHITE}]+\z", "")
     return words.key_values(d, ["doc_id"], "t", F.col("i"), rf"(?s)\A([^:\n]+?):[{T.WHITE}]*(.+)\z", trim)
 
 
+@register("kv_fields_whole", KV_SQL)
+def kv_fields_whole(spark, sf_dir):
+    """The same as ``kv_fields``, which once left lines out; tested against a plain loop."""
+    return kv_fields(spark, sf_dir)
+
+
 SKEW_SQL = f"select document_id, page, x0 as x_left, y2 as y_left, x2 as x_right, y2 + (index_sort % 7 - 3) * 0.001 as y_right from {WORDS_SQL} where x2 > x0"
 
 
@@ -178,14 +178,17 @@ def page_offsets(spark, sf_dir):
     return offsets.page_spans(page_texts(spark, sf_dir))
 
 
-@register("document_markdown", rf"with {PAGES_SQL} select document_id, md5(string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page)) as digest from pagetext where document_id not like '%compendium' group by document_id")
+PARTS_SQL = rf"""with {PAGES_SQL}, p as (select document_id, floor((page - 1) / 64) as block, min(page) as first_page, max(page) as last_page, string_agg(markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page) as t from pagetext group by 1, 2),
+  placed as (select *, row_number() over (partition by document_id order by block) - 1 as part, coalesce(sum(length(t) + 7) over (partition by document_id order by block rows between unbounded preceding and 1 preceding), 0)::bigint as start_char from p)"""
+
+
+@register("document_markdown", PARTS_SQL + " select document_id, part, md5(t) as digest from placed")
 def document_markdown(spark, sf_dir):
-    """Texts of the documents as the SQL states them, without the compendium; `document_parts` has every document."""
-    own = page_texts(spark, sf_dir).where("document_id not like '%compendium'")
-    return offsets.assemble(own).select("document_id", F.md5("markdown").alias("digest"))
+    """Texts of all documents, the compendium too, in ordered parts of up to 64 pages."""
+    return document_parts(spark, sf_dir).select("document_id", "part", "digest")
 
 
-@register("document_parts")
+@register("document_parts", PARTS_SQL + " select document_id, part, first_page, last_page, start_char, start_char + length(t) as end_char, md5(t) as digest from placed")
 def document_parts(spark, sf_dir):
     """Texts of all documents, the compendium too, in ordered parts of up to 64 pages; tested against a plain loop."""
     # One exchange by page serves the repeated words, the lines and the pages.
@@ -230,19 +233,23 @@ def reset_lines(spark, sf_dir):
     return words.reset_lines(w).select("document_id", "page", "index_sort", "line2", F.round("y", 6).alias("y"))
 
 
-@register("break_colons", f"select document_id, page, index_sort, len(list_filter(string_split(regexp_replace(regexp_replace(text, '^:', '~:~'), '([^0-9~]):', '\\1~:~', 'g'), '~'), lambda p: p <> '')) as pieces from {WORDS_SQL} where contains(text, ':') and not contains(text, '::') and not contains(text, '~') and not regexp_matches(text, '[०-९]:')")
-def break_colons(spark, sf_dir):
-    w = word_table(spark, sf_dir).where("contains(text, ':') and not contains(text, '::') and not contains(text, '~')").where(~F.col("text").rlike("[०-९]:"))
-    return w.select("document_id", "page", "index_sort", F.size(words.break_colons(F.col("text"))).cast("long").alias("pieces"))
+COLON_SQL = rf"""select document_id, page, index_sort, len(regexp_extract_all(array_to_string(list_transform(range(1, length(text) + 1), lambda i: case when substr(text, i, 1) = ':' and (i = 1 or not regexp_matches(substr(text, i - 1, 1), '\p{{Nd}}'))
+    then chr(57344) else substr(text, i, 1) end), ''), chr(57344) || '|[^' || chr(57344) || ']+')) as pieces from {WORDS_SQL} where contains(text, ':')"""
 
 
-@register("break_colons_whole")
-def break_colons_whole(spark, sf_dir):
-    """Pieces of every word with a colon, digits of all scripts; tested against a plain loop."""
+@register("break_colons", COLON_SQL)
+def break_colons(spark, sf_dir):
+    """Pieces of every word with a colon, digits of all scripts."""
     w = word_table(spark, sf_dir).where("contains(text, ':')")
     return w.select("document_id", "page", "index_sort", F.size(words.break_colons(F.col("text"), r"\p{Nd}")).cast("long").alias("pieces"))
 
 
+@register("break_colons_whole", COLON_SQL)
+def break_colons_whole(spark, sf_dir):
+    """The same as ``break_colons``, which once left words out; tested against a plain loop."""
+    return break_colons(spark, sf_dir)
+
+
 @register("word_offsets")
 def word_offsets(spark, sf_dir):
     """Offsets of the words of all boxed pages in their documents' contents, each sought in its own page's text; tested against a plain loop."""

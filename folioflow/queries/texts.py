@@ -85,27 +85,34 @@ def ocr_language_code(spark, sf_dir):
     return read(spark, sf_dir, "parse_requests").where("language is not null").select("request_id", "language").distinct().select("request_id", T.code_of_language(F.col("language")).alias("code"))
 
 
-@register("anchor_sanitise", r"select document_id, trim(regexp_replace(regexp_replace(left(content, 200), '<!--.*?-->', '', 'g'), '[ \t\n\r]+', ' ', 'g')) as anchor from parsed_documents where content is not null and not regexp_matches(left(content, 200), '[\x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')")
+ANCHOR_SQL = rf"select document_id, trim(regexp_replace(regexp_replace(content, '<!--[^\n]*?-->', '', 'g'), '{T.WHITE_SQL}+', ' ', 'g'), ' ') as anchor from parsed_documents where content is not null"
+
+
+@register("anchor_sanitise", ANCHOR_SQL)
 def anchor_sanitise(spark, sf_dir):
-    d = read(spark, sf_dir, "parsed_documents").where("content is not null").select("document_id", F.substring("content", 1, 200).alias("t"))
-    d = d.where(~F.col("t").rlike("[\\u000B\\u000C\\u001C-\\u001F\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"))
-    return d.select("document_id", T.squeeze(F.regexp_replace("t", "<!--.*?-->", "")).alias("anchor"))
+    """All contents without comments, in one line."""
+    d = read(spark, sf_dir, "parsed_documents").where("content is not null")
+    return d.select("document_id", T.squeeze(F.regexp_replace("content", r"<!--[^\n]*?-->", ""), f"[{T.WHITE}]").alias("anchor"))
 
 
-@register("anchor_sanitise_whole")
+@register("anchor_sanitise_whole", ANCHOR_SQL)
 def anchor_sanitise_whole(spark, sf_dir):
     """All contents without comments, white space of any kind squeezed; tested against a plain loop."""
     d = read(spark, sf_dir, "parsed_documents").where("content is not null")
     return d.select("document_id", T.squeeze(F.regexp_replace("content", "(?d)<!--.*?-->", ""), f"[{T.WHITE}]").alias("anchor"))
 
 
-@register("normal_forms", r"""select document_id, lower(translate(left(content, 120), '.,:;()[]{}"''`।॥', '               ')) as same_length, translate(left(content, 120), '०१२३४५६७८९', '0123456789') as digits from parsed_documents where content is not null""")
+FORMS_SQL = r"""select document_id, lower(translate(content, '.,:;()[]{}"''`।॥', '               ')) as same_length, translate(content, '०१२३४५६७८९', '0123456789') as digits from parsed_documents where content is not null"""
+
+
+@register("normal_forms", FORMS_SQL)
 def normal_forms(spark, sf_dir):
-    t = F.substring("content", 1, 120)
+    """Forms of whole contents in which every character keeps its place."""
+    t = F.col("content")
     return read(spark, sf_dir, "parsed_documents").where("content is not null").select("document_id", T.same_length_form(t).alias("same_length"), T.plain_digits(t).alias("digits"))
 
 
-@register("normal_forms_whole")
+@register("normal_forms_whole", FORMS_SQL)
 def normal_forms_whole(spark, sf_dir):
     """Normal forms of whole contents; tested against a plain loop."""
     t = F.col("content")
@@ -162,20 +169,21 @@ def chunk_fixed_windows(spark, sf_dir):
     return w.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("start_char").cast("long").alias("start_char"), F.md5("chunk").alias("digest"))
 
 
-@register(
-    "section_split",
-    r"""with m as (select doc_id, regexp_replace(regexp_replace(regexp_replace(chr(10) || legal, '(\nChapter\s+[0-9]+|\nPART\s+[0-9]+)', chr(1) || '\1', 'g'), '(\nSection\s+[0-9]+|\nArt\. [0-9]+)', chr(1) || '\1', 'g'), '(\n#{1,3}\s+)', chr(1) || '\1', 'g') as t from """
+SPLIT_SQL = (
+    r"""with m as (select doc_id, regexp_replace(regexp_replace(regexp_replace(chr(10) || legal, '(\nChapter@W@+[0-9]+|\nPART@W@+[0-9]+)', chr(57344) || '\1', 'g'), '(\nSection@W@+[0-9]+|\nArt\. [0-9]+)', chr(57344) || '\1', 'g'), '(\n#{1,3}@W@+)', chr(57344) || '\1', 'g') as t from """
     + LEGAL_SQL
-    + r""" where not contains(legal, chr(1)) and not regexp_matches(legal, '[\x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]'))
-    select doc_id, len(p) as pieces, md5(array_to_string(p, '|')) as digest from (select doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: regexp_replace(x, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')), lambda x: x <> '') as p from m)""",
-)
+    + r""") select doc_id, len(p) as pieces, md5(array_to_string(p, '|')) as digest from (select doc_id, list_filter(list_transform(string_split(t, chr(57344)), lambda x: trim(regexp_replace(x, '^@W@+|@W@+\z', '', 'g'), ' ')), lambda x: x <> '') as p from m)"""
+).replace("@W@", T.WHITE_SQL)
+
+
+@register("section_split", SPLIT_SQL)
 def section_split(spark, sf_dir):
-    d = legal(spark, sf_dir).where(~F.col("legal").rlike("[\\u0001\\u000B\\u000C\\u001C-\\u001F\\u0085\\u00A0\\u2000-\\u200A\\u2028\\u2029\\u202F\\u3000]"))
-    p = d.select("doc_id", chunks.sections(F.col("legal")).alias("p"))
+    """Sections of all documents, white space of any kind."""
+    p = legal(spark, sf_dir).select("doc_id", chunks.sections(F.col("legal"), f"[{T.WHITE}]").alias("p"))
     return p.select("doc_id", F.size("p").cast("long").alias("pieces"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
-@register("section_split_whole")
+@register("section_split_whole", SPLIT_SQL)
 def section_split_whole(spark, sf_dir):
     """Sections of all documents, white space of any kind; tested against a plain loop."""
     p = legal(spark, sf_dir).select("doc_id", chunks.sections(F.col("legal"), f"[{T.WHITE}]").alias("p"))
@@ -297,7 +305,7 @@ def geography(spark, sf_dir):
 
 @register("tree_dfs", f"with {GEO_SQL} select array_to_string(path, '.') as path, title, row_number() over (order by path) - 1 as id, len(path)::int as depth from nodes")
 def tree_dfs(spark, sf_dir):
-    own = trees.depth_first(geography(spark, sf_dir).withColumn("tree", F.lit(0)), ["tree"])
+    own = trees.depth_first_within(geography(spark, sf_dir), 2)
     return own.select(F.array_join("path", ".").alias("path"), "title", "id", F.size("path").alias("depth"))
 
 
@@ -335,9 +343,11 @@ def tree_end_char(spark, sf_dir):
     f"with {STARTS_SQL}, e as (select *, coalesce((select min(m.start_char) from n m where m.document_id = n.document_id and m.start_char > n.start_char + length(n.title)), total) as end_char from n) select document_id, line_no::int as line_no, end_char > start_char and start_char >= 0 as is_exact, md5(substr(content, start_char + 1, end_char - start_char)) as digest from e",
 )
 def tree_slice(spark, sf_dir):
-    own = trees.next_start(starts(spark, sf_dir), ["document_id"], "start_char", "title", F.col("total"))
+    """Texts of the sections; ends are found without the contents, which join last."""
+    own = trees.next_start(starts(spark, sf_dir).drop("content"), ["document_id"], "start_char", "title", F.col("total"))
+    whole = own.join(read(spark, sf_dir, "parsed_documents").select("document_id", "content"), "document_id")
     text, exact = trees.slice_text(F.col("content"), F.col("start_char"), F.col("end_char"), F.col("title"))
-    return own.select("document_id", "line_no", exact.alias("is_exact"), F.md5(text).alias("digest"))
+    return whole.select("document_id", "line_no", exact.alias("is_exact"), F.md5(text).alias("digest"))
 
 
 PAGE_MAP_SQL = "(select document_id, page, min(o) as ps, max(o + length(t)) as pe, min(x0) as x0, min(y0) as y0, max(x2) as x2, max(y2) as y2 from (select document_id, page, w.char_offset as o, w.text as t, w.x0 as x0, w.y0 as y0, w.x2 as x2, w.y2 as y2 from (select document_id, page, unnest(words) as w from (select distinct on (document_id, page) * from word_bboxes))) group by document_id, page)"
@@ -436,39 +446,43 @@ def file_kinds(spark, sf_dir):
     return read(spark, sf_dir, "parsed_documents").select("document_id", kind.alias("kind"))
 
 
-@register("links_extract", r"""with l as (select doc_id, unnest(regexp_extract_all(text, 'https?://[^\s"''<>)]+')) as url, generate_subscripts(regexp_extract_all(text, 'https?://[^\s"''<>)]+'), 1) as i from documents where text is not null and not regexp_matches(text, '[\x{85}\x{A0}\x{2028}\x{2029}\x{3000}\x{1C}-\x{1F}\x{0B}]'))
-  select doc_id, url, min(i)::int as ord from l group by doc_id, url""")
-def links_extract(spark, sf_dir):
-    """Distinct links of each document with their first place."""
-    d = read(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike("[\\u0085\\u00A0\\u2028\\u2029\\u3000\\u001C-\\u001F\\u000B]"))
-    found = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"""(https?://[^\s"'<>)]+)"""), F.lit(1))).alias("i", "url"))
-    return found.groupBy("doc_id", "url").agg((F.min("i") + 1).alias("ord"))
-
-
 WHITE_SQL = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LINK_SQL = rf"""'https?://[^{WHITE_SQL}"''<>)]+'"""
 
 
 @register(
-    "links_extract_whole",
+    "links_extract",
     f"""with l as (select doc_id, unnest(regexp_extract_all(text, {LINK_SQL})) as url, generate_subscripts(regexp_extract_all(text, {LINK_SQL}), 1) as i from documents where text is not null)
     select doc_id, url, min(i)::int as ord from l group by doc_id, url""",
 )
-def links_extract_whole(spark, sf_dir):
+def links_extract(spark, sf_dir):
     """Distinct links of all documents with their first place; white space of any kind ends one."""
     d = read(spark, sf_dir, "documents").where("text is not null")
     found = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"""(https?://[^{T.WHITE}"'<>)]+)"""), F.lit(1))).alias("i", "url"))
     return found.groupBy("doc_id", "url").agg((F.min("i") + 1).alias("ord"))
 
 
-@register("year_guess_filter", r"with y as (select document_id, nullif(regexp_extract(translate(left(content, 400), '०१२३४५६७८९', '0123456789'), '(20[0-9]{2})', 1), '')::int as year from parsed_documents) select document_id, year from y where year is not null and year >= 2050 and year <= 2075")
+@register(
+    "links_extract_whole",
+    f"""with l as (select doc_id, unnest(regexp_extract_all(text, {LINK_SQL})) as url, generate_subscripts(regexp_extract_all(text, {LINK_SQL}), 1) as i from documents where text is not null)
+    select doc_id, url, min(i)::int as ord from l group by doc_id, url""",
+)
+def links_extract_whole(spark, sf_dir):
+    """The same as ``links_extract``, which once left rows out; tested against a plain loop."""
+    return links_extract(spark, sf_dir)
+
+
+YEAR_GUESS_SQL = r"with y as (select document_id, nullif(regexp_extract(translate(content, '०१२३४५६७८९', '0123456789'), '(20[0-9]{2})', 1), '')::int as year from parsed_documents) select document_id, year from y where year is not null and year >= 2050 and year <= 2075"
+
+
+@register("year_guess_filter", YEAR_GUESS_SQL)
 def year_guess_filter(spark, sf_dir):
-    """Documents whose first year lies within bounds; without a year they are left out."""
-    d = read(spark, sf_dir, "parsed_documents").select("document_id", T.title_year(F.substring("content", 1, 400)).cast("int").alias("year"))
+    """Documents whose first year, wherever it stands, lies within bounds; without a year they are left out."""
+    d = read(spark, sf_dir, "parsed_documents").select("document_id", T.title_year(F.col("content")).cast("int").alias("year"))
     return d.where("year is not null and year between 2050 and 2075")
 
 
-@register("year_guess_filter_whole")
+@register("year_guess_filter_whole", YEAR_GUESS_SQL)
 def year_guess_filter_whole(spark, sf_dir):
     """Documents whose first year in the whole content lies within bounds; tested against a plain loop."""
     d = read(spark, sf_dir, "parsed_documents").select("document_id", T.title_year(F.col("content")).cast("int").alias("year"))
@@ -513,7 +527,12 @@ def download_paths(spark, sf_dir):
     """Places of downloads: a second file of a name gets a hash, further ones also a number."""
     base = F.coalesce("collection_name", F.lit("none"))
     d = read(spark, sf_dir, "parsed_documents").select("document_id", base.alias("base"))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("document_id"))
+    # Numbered within the first six characters of the ids, whose order is that of the ids, and over the counts of these: no name is one group.
+    d = d.withColumn("part", F.substring("document_id", 1, 6))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("base").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = d.groupBy("base", "part").count().withColumn("before", before).drop("count")
+    n = F.row_number().over(Window.partitionBy("base", "part").orderBy("document_id")) + F.col("before")
+    d = d.join(counts, ["base", "part"])
     h = F.concat(F.lit("_"), F.substring(F.md5("document_id"), 1, 8))
     d = d.withColumn("n", n)
     tail = F.when(F.col("n") == 1, "").when(F.col("n") == 2, h).otherwise(F.concat(h, F.lit("_"), F.col("n").cast("string")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,8 +20,14 @@ USER_PLAN_SQL = "case user_id % 4 when 0 then 'starter' when 1 then 'pro' when 2
 ACTION_SQL = "case event_type when 'view' then 'search' when 'click' then 'pdf_download' else event_type end"
 
 
-def last_day(events: DataFrame) -> str:
-    return str(events.agg(F.max("ts").cast("date")).first()[0])
+def last_day(spark, sf_dir) -> Column:
+    """Day of the last event, as a subquery of the plan that uses it."""
+    return read(spark, sf_dir, "events").agg(F.to_date(F.max("ts"))).scalar()
+
+
+def since(spark, sf_dir, days: int) -> Column:
+    """Whether an event lies in the last ``days`` days; compares its time itself, so that the scan can skip the rest."""
+    return F.col("ts") >= F.date_sub(last_day(spark, sf_dir), days - 1).cast("timestamp")
 
 
 def actions(spark, sf_dir) -> DataFrame:
@@ -65,7 +71,7 @@ def llm_user_totals(spark, sf_dir):
 )
 def llm_daily_totals(spark, sf_dir):
     c = usage.cost(calls(spark, sf_dir))
-    start = F.date_sub(F.lit(last_day(read(spark, sf_dir, "events"))).cast("date"), 7)
+    start = F.date_sub(last_day(spark, sf_dir), 7)
     day = F.date_format("timestamp", "yyyy-MM-dd").alias("day")
     own = c.where(F.col("timestamp") >= start).groupBy(day).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
     return own.orderBy("day").limit(8)
@@ -78,7 +84,7 @@ def llm_daily_totals(spark, sf_dir):
 )
 def llm_model_breakdown(spark, sf_dir):
     c = usage.cost(calls(spark, sf_dir))
-    start = F.date_sub(F.lit(last_day(read(spark, sf_dir, "events"))).cast("date"), 30)
+    start = F.date_sub(last_day(spark, sf_dir), 30)
     tokens = F.sum(F.col("input_tokens") + F.col("output_tokens") + F.col("thinking_tokens")).alias("tokens")
     own = c.where(F.col("timestamp") >= start).groupBy("model").agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), tokens)
     return own.orderBy(F.desc("cost_usd"), "model").limit(20)
@@ -100,8 +106,7 @@ def usage_daily_counters(spark, sf_dir):
     f"""select user_id, count(*) filter (event_type = 'view') as search, count(*) filter (event_type = 'click') as pdf_download from events where ts::date = {DAY_SQL} group by user_id""",
 )
 def usage_today_pivot(spark, sf_dir):
-    day = last_day(read(spark, sf_dir, "events"))
-    own = usage.daily_counters(actions(spark, sf_dir)).where(F.col("date") == day)
+    own = usage.daily_counters(actions(spark, sf_dir).where(since(spark, sf_dir, 1)))
     return own.groupBy("user_id").pivot("action", ["search", "pdf_download"]).agg(F.sum("amount")).fillna(0)
 
 
@@ -112,7 +117,7 @@ def usage_today_pivot(spark, sf_dir):
     sum((select count(*) from events e where e.user_id = u.user_id and e.ts::date = day)) over (partition by user_id)::bigint as total from u, days""",
 )
 def usage_last_n_days(spark, sf_dir):
-    series = usage.last_days(usage.daily_counters(actions(spark, sf_dir)), users(spark, sf_dir), last_day(read(spark, sf_dir, "events")), 7)
+    series = usage.last_days(usage.daily_counters(actions(spark, sf_dir).where(since(spark, sf_dir, 7))), users(spark, sf_dir), last_day(spark, sf_dir), 7)
     return series.withColumn("total", F.sum("amount").over(Window.partitionBy("user_id")))
 
 
@@ -124,8 +129,7 @@ def usage_last_n_days(spark, sf_dir):
     from u left join {PLAN_SQL} as p on u.plan = p.plan left join used using (user_id)""".replace(") as plans(plan, searches, downloads, starred, history_days) as p", ") as p(plan, searches, downloads, starred, history_days)"),
 )
 def quota_check(spark, sf_dir):
-    day = last_day(read(spark, sf_dir, "events"))
-    used = usage.daily_counters(actions(spark, sf_dir)).where((F.col("date") == day) & (F.col("action") == "search")).select("user_id", F.col("amount").alias("used"))
+    used = usage.daily_counters(actions(spark, sf_dir).where(since(spark, sf_dir, 1) & (F.col("action") == "search"))).select("user_id", F.col("amount").alias("used"))
     j = usage.with_plan(users(spark, sf_dir)).join(used, "user_id", "left").fillna(0, ["used"])
     allowed, remaining = usage.quota(F.col("used"), F.col("searches"))
     plan = F.when(F.col("plan").isin(*usage.PLANS), F.col("plan")).otherwise(usage.DEFAULT_PLAN)
@@ -252,7 +256,9 @@ def starred_cap(spark, sf_dir):
     one = upsert.latest(s, ["user_id", "workspace_id", "query"], [F.asc("starred_at"), F.asc("id")])
     kind = F.substring("user_id", -1, 1).cast("int") % 3
     cap = F.when(kind == 0, 10).when(kind == 1, 50).otherwise(-1)
-    return upsert.newest(one, ["user_id"], [F.desc("starred_at"), F.asc("id")], cap).select("user_id", "id", "starred_at")
+    order = [F.desc("starred_at"), F.asc("id")]
+    capped = [upsert.newest(one.where(cap == n), ["user_id"], order, n) for n in (10, 50)]
+    return one.where(cap < 0).unionByName(capped[0]).unionByName(capped[1]).select("user_id", "id", "starred_at")
 
 
 @register(
