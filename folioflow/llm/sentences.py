@@ -152,14 +152,25 @@ _LANGUAGE_OF = {w: lang for lang, own in FUNCTION_WORDS.items() for w in own.spl
 _LOWER_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 
 
-def latin_language(text: str) -> str:
-    """The language of a text in Latin script by its function words; "latin" if fewer than two tell or none leads two to one."""
-    n = {"en": 0, "fr": 0, "de": 0, "es": 0}
-    for w in _LOWER_WORD.findall(text):
-        if lang := _LANGUAGE_OF.get(w):
-            n[lang] += 1
-    (best, most), (_, second) = sorted(n.items(), key=lambda x: -x[1])[:2]
-    return best if most >= 2 and most >= 2 * second else "latin"
+class Told:
+    """The language of a growing piece of text in Latin script by its function words, read once from left to right."""
+
+    def __init__(self, start: int) -> None:
+        self.start = self.upto = start
+        self.n = {"en": 0, "fr": 0, "de": 0, "es": 0}
+
+    def language(self, text: str, at: int) -> str:
+        """The table of ``text`` from the start up to ``at``; "latin" if fewer than two words tell or none leads two to one."""
+        end = at
+        while end > self.upto and text[end - 1].isalpha() and end < len(text) and text[end].isalpha():
+            end -= 1  # a word that goes on is read with the next piece
+        for w in _LOWER_WORD.findall(text, self.upto, end):
+            if lang := _LANGUAGE_OF.get(w):
+                self.n[lang] += 1
+        self.upto = max(end, self.upto)
+        (best, most), (_, second) = sorted(self.n.items(), key=lambda x: -x[1])[:2]
+        return best if most >= 2 and most >= 2 * second else "latin"
+
 
 #: A candidate: end marks with what closes after them, or a blank between Thai letters.
 CANDIDATE = re.compile(
@@ -199,7 +210,7 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFKC", text.translate(PLAIN)).replace("...", "…")
 
 
-def _breaks(text: str, start: int, at: int, end: int) -> bool:
+def _breaks(text: str, start: int, at: int, end: int, told: Told) -> bool:
     """What the cascade says of the place ``at`` in the unit that began at ``start``."""
     before = text[start:at]
     after = text[at : min(at + 40, end)]
@@ -209,7 +220,7 @@ def _breaks(text: str, start: int, at: int, end: int) -> bool:
         tail, after = fold(tail), fold(after)
         if len(before) < 40:
             before = tail = fold(before)
-    for rule in CASCADES[latin_language(before) if script == LATIN else script]:
+    for rule in CASCADES[told.language(text, at) if script == LATIN else script]:
         if rule.after.match(after) and rule.before.search(before if rule.whole else tail):
             return rule.breaks
     return False
@@ -290,6 +301,7 @@ def units(text: str | None) -> list[tuple[int, int]]:
         unit, k = start, 0
         while unit < end and text[unit].isspace():
             unit += 1
+        told = Told(unit)
         for m in CANDIDATE.finditer(text, start, end):
             at = m.end()
             if at >= end or at <= unit:
@@ -298,7 +310,9 @@ def units(text: str | None) -> list[tuple[int, int]]:
                 k += 1
             if k < len(spans) and spans[k][0] < at < spans[k][1]:
                 continue
-            if _breaks(text, unit, at, end):
+            if told.start != unit:
+                told = Told(unit)
+            if _breaks(text, unit, at, end, told):
                 add(unit, at)
                 unit = at
                 while unit < end and text[unit].isspace():
