@@ -152,6 +152,9 @@ _LANGUAGE_OF = {w: lang for lang, own in FUNCTION_WORDS.items() for w in own.spl
 _LOWER_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 
 
+STOPPED = re.compile(rf"\.[{INVISIBLE}]*\Z")
+
+
 class Told:
     """The language of a growing piece of text in Latin script by its function words, read once from left to right."""
 
@@ -168,8 +171,8 @@ class Told:
             if lang := _LANGUAGE_OF.get(w):
                 self.n[lang] += 1
         self.upto = max(end, self.upto)
-        (best, most), (_, second) = sorted(self.n.items(), key=lambda x: -x[1])[:2]
-        return best if most >= 2 and most >= 2 * second else "latin"
+        second, most = sorted(self.n.values())[-2:]
+        return max(self.n, key=self.n.__getitem__) if most >= 2 and most >= 2 * second else "latin"
 
 
 #: A candidate: end marks with what closes after them, or a blank between Thai letters.
@@ -220,7 +223,10 @@ def _breaks(text: str, start: int, at: int, end: int, told: Told) -> bool:
         tail, after = fold(tail), fold(after)
         if len(before) < 40:
             before = tail = fold(before)
-    for rule in CASCADES[told.language(text, at) if script == LATIN else script]:
+    # The languages' tables differ in abbreviations only, which end in a stop.
+    if script == LATIN and STOPPED.search(tail):
+        script = told.language(text, at)
+    for rule in CASCADES[script]:
         if rule.after.match(after) and rule.before.search(before if rule.whole else tail):
             return rule.breaks
     return False
