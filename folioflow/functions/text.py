@@ -189,42 +189,55 @@ def _open(c: Column, left: str, right: str) -> Column:
     return _count(c, left) > _count(c, right)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def completeness(c: Column) -> Column:
     """1 less what is missing: an end mark, closing brackets, a closing quote, the text of a numbered item."""
-    t = F.regexp_replace(c, rf"[{WHITE}]+\z", "")
-    lost = (
-        F.when(~t.rlike(r"[.!?;:]\z"), 0.3).otherwise(0.0)
-        + F.when(_open(c, "(", ")"), 0.2).otherwise(0.0)
-        + F.when(_open(c, "[", "]"), 0.1).otherwise(0.0)
-        + F.when(_open(c, "{", "}"), 0.1).otherwise(0.0)
-        + F.when(_count(c, '"') % 2 == 1, 0.1).otherwise(0.0)
-        + F.when(t.rlike(rf"\n[{WHITE}]*\p{{Nd}}+[.)]\z"), 0.2).otherwise(0.0)
-    )
-    return F.when(t == "", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - lost), 6))
+
+    def of(t: Column) -> Column:
+        lost = (
+            F.when(~t.rlike(r"[.!?;:]\z"), 0.3).otherwise(0.0)
+            + F.when(_open(c, "(", ")"), 0.2).otherwise(0.0)
+            + F.when(_open(c, "[", "]"), 0.1).otherwise(0.0)
+            + F.when(_open(c, "{", "}"), 0.1).otherwise(0.0)
+            + F.when(_count(c, '"') % 2 == 1, 0.1).otherwise(0.0)
+            + F.when(t.rlike(rf"\n[{WHITE}]*+\p{{Nd}}++[.)]\z"), 0.2).otherwise(0.0)
+        )
+        return F.when(t == "", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - lost), 6))
+
+    return _let(F.regexp_replace(c, rf"[{WHITE}]++\z", ""), of)
 
 
 def coherence(c: Column) -> Column:
     """From 1: less for words that hardly repeat or more than three different sections, more for repetition and several mentions of sections; 0.5 for short texts."""
-    tokens = F.filter(F.split(F.lower(c), rf"[{WHITE}]+"), lambda x: x != "")
-    n = F.size(tokens)
-    ratio = F.size(F.array_distinct(tokens)) / F.greatest(n, F.lit(1))
+
+    def of(x: Column) -> Column:
+        n = F.size(x["words"])
+        ratio = x["kinds"] / F.greatest(n, F.lit(1))
+        score = (
+            F.lit(1.0)
+            + F.when(ratio > 0.9, -0.2).when(ratio < 0.6, 0.1).otherwise(0.0)
+            + F.when(F.size(x["mentions"]) > 1, 0.1).otherwise(0.0)
+            + F.when(F.size(F.array_distinct(x["mentions"])) > 3, -0.2).otherwise(0.0)
+        )
+        return F.when((F.length(c) < 50) | (n < 10), 0.5).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+
     mentions = F.regexp_extract_all(c, F.lit(rf"(?i)Section[{WHITE}]+(\p{{Nd}}+)"), F.lit(1))
-    score = (
-        F.lit(1.0)
-        + F.when(ratio > 0.9, -0.2).when(ratio < 0.6, 0.1).otherwise(0.0)
-        + F.when(F.size(mentions) > 1, 0.1).otherwise(0.0)
-        + F.when(F.size(F.array_distinct(mentions)) > 3, -0.2).otherwise(0.0)
-    )
-    return F.when((F.length(c) < 50) | (n < 10), 0.5).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+    counted = lambda w: F.struct(w.alias("words"), F.size(F.array_distinct(w)).alias("kinds"), mentions.alias("mentions"))
+    words = F.filter(F.split(F.lower(c), rf"[{WHITE}]+"), lambda x: x != "")
+    return _let(_let(words, counted), of)
 
 
 def richness(act: Column, sections: Column, chapters: Column, year: Column) -> Column:
     """Share of the metadata that a chunk has."""
-    score = (
+    score = lambda n: (
         F.when(act.isNotNull(), 0.3).otherwise(0.0)
-        + F.when(F.size(sections) > 0, 0.4).otherwise(0.0)
-        + F.when(F.size(sections) > 1, 0.1).otherwise(0.0)
+        + F.when(n > 0, 0.4).otherwise(0.0)
+        + F.when(n > 1, 0.1).otherwise(0.0)
         + F.when(F.size(chapters) > 0, 0.1).otherwise(0.0)
         + F.when(year.isNotNull(), 0.1).otherwise(0.0)
     )
-    return F.round(F.least(F.lit(1.0), score), 6)
+    return _let(F.size(sections), lambda n: F.round(F.least(F.lit(1.0), score(n)), 6))

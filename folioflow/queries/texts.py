@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import chunks, trees, upsert
 from ..plans import pipelines
 from ..sources import files
-from ..sources.tables import read
+from ..sources.tables import read, spread
 from . import register
 from .search import BM25_SQL, queries_of
 
@@ -154,7 +154,7 @@ def metadata_richness(spark, sf_dir):
 )
 def chunk_quality(spark, sf_dir):
     """Weighted score of completeness, coherence and metadata of each text, in one pass."""
-    head = legal(spark, sf_dir, "text")
+    head = spread(legal(spark, sf_dir, "text"))
     c = F.col("legal")
     rich = T.richness(T.act_name(c), T.section_numbers(c), T.chapter_numbers(c), T.first_year(c))
     return head.select("doc_id", F.round(0.4 * T.completeness(F.col("text")) + 0.3 * T.coherence(F.col("text")) + 0.3 * rich + 1e-9, 3).alias("quality"))
