@@ -176,8 +176,9 @@ def search_regions(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     nodes: document_id, node, first_page, last_page; pages: document_id, page,
     start_char, end_char. Nodes whose pages aren't known get nulls.
     """
-    near = nodes.join(pages, "document_id", "left").where(F.col("page").isNull() | F.col("page").between(F.col("first_page") - 1, F.col("last_page") + 1))
-    found = near.groupBy("document_id", "node").agg(F.min("start_char").alias("region_start"), F.max("end_char").alias("region_end"))
+    # A row for each page that a node looks at: joined by document and page, so that a long document is no single group.
+    asked = nodes.where("first_page is not null and last_page >= first_page").select("document_id", "node", F.explode(F.sequence(F.col("first_page") - 1, F.col("last_page") + 1)).alias("page"))
+    found = asked.join(pages.select("document_id", "page", "start_char", "end_char"), ["document_id", "page"]).groupBy("document_id", "node").agg(F.min("start_char").alias("region_start"), F.max("end_char").alias("region_end"))
     return nodes.select("document_id", "node").join(found, ["document_id", "node"], "left")
 
 
