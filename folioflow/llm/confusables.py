@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .tables import read, spread
 
@@ -200,20 +200,39 @@ def plain(words: pd.Series) -> pd.Series:
     return words.map(lambda w: w if w is None else spell(w))
 
 
+#: What follows a sign at the end of a line.
+LINE_END = re.compile(r"[ \t]*(?:[\r\n]|\Z)")
+
+
+def one_form(text: str | None, scanned: bool = False) -> str | None:
+    """A text with every run in its ordinary form; the soft hyphens that end lines of a scanned one are what its page shows, and stay."""
+    if not text:
+        return text
+    out, at = [], 0
+    for start, run, form in odd_runs(text):
+        out += [text[at:start], form]
+        at = start + len(run)
+        if scanned and run.endswith("\u00ad") and LINE_END.match(text, at):
+            out.append("\u00ad")
+    return "".join(out) + text[at:]
+
+
 @F.pandas_udf(StringType())
 def plain_text(texts: pd.Series) -> pd.Series:
     """Texts with every run in its ordinary form, null for null."""
+    return texts.map(one_form)
 
-    def one(text: str | None) -> str | None:
-        if not text:
-            return text
-        out, at = [], 0
-        for start, run, form in odd_runs(text):
-            out += [text[at:start], form]
-            at = start + len(run)
-        return "".join(out) + text[at:]
 
-    return texts.map(one)
+@F.pandas_udf(StringType())
+def plain_content(texts: pd.Series, scanned: pd.Series) -> pd.Series:
+    """Contents of documents with every run in its ordinary form, null for null."""
+    return pd.Series([one_form(t, s) for t, s in zip(texts, scanned)], dtype=object)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def plain_words(pages: pd.Series) -> pd.Series:
+    """Lists of words with each in its ordinary form, null for null."""
+    return pages.map(lambda words: words if words is None else [w if w is None else spell(w) for w in words])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,6 +251,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents of the documents that weren't scanned, in one form."""
-    docs = read(spark, sf_dir, "parsed_documents").where(~F.col("ocr_used")).select("document_id", "content")
-    return spread(docs).select("document_id", plain_text("content").alias("content"))
+    """Contents of all documents in one form; one that isn't known to be unscanned keeps the soft hyphens that end its lines."""
+    docs = read(spark, sf_dir, "parsed_documents").select("document_id", "content", F.coalesce("ocr_used", F.lit(True)).alias("scanned"))
+    return spread(docs).select("document_id", plain_content("content", "scanned").alias("content"))
+
+
+def p4_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of ``word_bboxes`` with the texts of their words in one form and all else as it is."""
+    pages = spread(read(spark, sf_dir, "word_bboxes").select("document_id", "page", "words")).withColumn("forms", plain_words("words.text"))
+    return pages.select("document_id", "page", F.transform(F.arrays_zip("words", "forms"), lambda x: x["words"].withField("text", x["forms"])).alias("words"))

@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_paragraphs": scans.p3_paragraphs,
     "p4_found": confusables.p4_found,
     "p4_normalized": confusables.p4_normalized,
+    "p4_words": confusables.p4_words,
     "p5_found": pairs.p5_found,
     "p6_ids": tokens.p6_ids,
     "p7_mix": mixing.p7_mix,

@@ -184,6 +184,17 @@ def test_runs(spark):
     assert rows.select(confusables.plain_text(F.col("content"))).collect()[0][0] == "The fee is\r\non\tdeed x"
 
 
+def test_all_documents_and_words_come_out_in_one_form(spark, tmp_path):
+    docs = [("a", "the fее", False), ("b", "de\u00ad\nposit de\u00adpot fее\u00ad \r\nx\u00ad", True), ("c", "fее", None), ("d", None, True), ("e", "de\u00ad\nposit", False)]
+    spark.createDataFrame(docs, "document_id string, content string, ocr_used boolean").write.parquet(f"{tmp_path}/parsed_documents.parquet")
+    got = {r["document_id"]: r["content"] for r in confusables.p4_normalized(spark, str(tmp_path)).collect()}
+    assert got == {"a": "the fee", "b": "de\u00ad\nposit depot fee\u00ad \r\nx\u00ad", "c": "fee", "d": None, "e": "de\nposit"}
+    pages = [("a", 1, [("fее", 3), None, (None, 4), ("ok", None)]), ("a", 1, [("fее", 3)]), ("b", None, []), ("c", 1, None)]
+    spark.createDataFrame(pages, "document_id string, page int, words array<struct<text string, char_offset bigint>>").write.parquet(f"{tmp_path}/word_bboxes.parquet")
+    rows = [(r["document_id"], r["page"], r["words"] and [w and tuple(w) for w in r["words"]]) for r in confusables.p4_words(spark, str(tmp_path)).collect()]
+    assert sorted(rows, key=str) == sorted([("a", 1, [("fee", 3), None, (None, 4), ("ok", None)]), ("a", 1, [("fee", 3)]), ("b", None, []), ("c", 1, None)], key=str)
+
+
 # --- pairs ------------------------------------------------------------------
 
 
