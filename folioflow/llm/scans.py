@@ -21,16 +21,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from difflib import SequenceMatcher
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 from ..operators.sizes import small
 from .confusables import spell
@@ -74,11 +75,11 @@ PARTS = ("index_sort", "line", "block", "text")
 
 
 def pages(words: DataFrame) -> DataFrame:
-    """One row a page: document_id, page and in reading order index_sort, line, block and text of its words, repeated rows once."""
+    """One row a page: document_id, page and in reading order index_sort, line, block and text of its words; ``Lines`` takes repeated rows once."""
     return (
         words.where(F.col("text").isNotNull() & F.col("document_id").isNotNull() & F.col("page").isNotNull() & F.col("index_sort").isNotNull())
         .groupBy("document_id", "page")
-        .agg(F.sort_array(F.collect_set(F.struct(*PARTS))).alias("words"))
+        .agg(F.sort_array(F.collect_list(F.struct(*PARTS))).alias("words"))
         .select("document_id", "page", *(F.col(f"words.{c}").alias(c) for c in PARTS))
     )
 
@@ -89,26 +90,25 @@ class Lines:
     def __init__(self, index_sort, line, block, text) -> None:
         rows: dict[int, list] = {}
         blocks: dict[int, int] = {}
-        last = None
+        own: list[tuple[int, str]] = []
+        last = now = None
         for w, n, b, t in zip(index_sort, line, block, text):
             if w == last:
                 continue
             last = w
-            n = -1 if n is None else n
-            if n not in rows:
-                rows[n] = []
-                blocks[n] = -1 if b is None else b
+            if n != now:
+                now, own = n, rows.setdefault(n, [])
+                blocks.setdefault(n, b)
             if t.strip():
-                rows[n].append((w, t))
+                own.append((w, t))
         self.number = sorted(rows)
         self.words = [rows[n] for n in self.number]
         many = Counter(blocks.values())
         self.alone = [many[blocks[n]] == 1 for n in self.number]
         self.block = [blocks[n] for n in self.number]
 
-    @cached_property
-    def text(self) -> list[str]:
-        return [" ".join(t.strip() for _, t in x) for x in self.words]
+    def text(self, i: int) -> str:
+        return " ".join(t.strip() for _, t in self.words[i])
 
     def zones(self) -> dict[int, str]:
         """Lines that may be furniture: their place, "top" or "foot"."""
@@ -142,9 +142,40 @@ def split_number(words: list[tuple[int, str]]) -> tuple[int | None, int | None,
     return None, None, words
 
 
+#: Pages whose words are Python objects at one time.
+AT_ONCE = 512
+
+
+def few_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of ``AT_ONCE``, as a batch of Spark's may hold a million words."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
+def inner(column: pa.ListArray) -> tuple[pa.Array, list[int]]:
+    """The values of a column without null lists, and where each list begins and the last one ends."""
+    at = column.offsets.to_numpy()
+    return column.values.slice(at[0], at[-1] - at[0]), (at - at[0]).tolist()
+
+
+def flat(column: pa.ListArray) -> list[list]:
+    """The lists of a column; null integers are -1. Values are converted all at once, not one by one."""
+    values, at = inner(column)
+    own = (values.fill_null(-1).to_numpy() if pa.types.is_integer(values.type) else values.to_numpy(zero_copy_only=False)).tolist()
+    return [own[a:b] for a, b in zip(at, at[1:])]
+
+
+def structs(column: pa.ListArray, fields: tuple[str, ...]) -> list[list[tuple]]:
+    """The lists of a column as lists of tuples of the named fields."""
+    values, at = inner(column)
+    rows = list(zip(*(values.field(f).to_pylist() for f in fields)))
+    return [rows[a:b] for a, b in zip(at, at[1:])]
+
+
 def each_page(batch: pa.RecordBatch, first: tuple[str, ...]) -> Iterator[tuple]:
     """The named columns and the lines of each page of a batch."""
-    for row in zip(*(batch.column(c).to_pylist() for c in (*first, *PARTS))):
+    for row in zip(*(batch.column(c).to_pylist() for c in first), *(flat(batch.column(c)) for c in PARTS)):
         yield (*row[: len(first)], Lines(*row[len(first) :]))
 
 
@@ -161,14 +192,14 @@ def lone_lines(paged: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_pages(batches):
             out: list[list] = [[] for _ in ZONE_COLS]
             for doc, page, lines in each_page(batch, ("document_id", "page")):
                 zones = lines.zones()
                 for i, alone in enumerate(lines.alone):
                     if not alone and i not in zones or not lines.words[i]:
                         continue
-                    text, zone = lines.text[i], zones.get(i)
+                    text, zone = lines.text(i), zones.get(i)
                     form, number = None, None
                     if not is_number(text) and re.search(LETTER, text):
                         form = masked(text)
@@ -282,13 +313,21 @@ def furniture(lines: DataFrame) -> DataFrame:
     again = edge.where("place = 'foot' and form != ''").groupBy("document_id", "exact").agg(F.count("*").alias("n")).where("n > 1")
     again = again.select("document_id", "exact", F.lit(True).alias("again"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit("foot").alias("place"))
     seen = edge.join(of_whole, ["form", "place", "salt"], "left").join(by_part, ["document_id", "page", "i"], "left").join(again, ["document_id", "exact", "place", "salt"], "left")
-    paged = seen.groupBy("document_id", "page", "lines").agg(F.collect_list(F.struct("i", "place", "form", "indexes", "texts", "known", "counts", "by_part", "again")).alias("edge"))
+    paged = seen.groupBy("document_id", "page", "lines").agg(F.collect_list(F.struct(*EDGE)).alias("edge"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_pages(batches):
+            out: list[tuple] = []
+            for doc, page, size, edge in zip(*(batch.column(c).to_pylist() for c in ("document_id", "page", "lines")), structs(batch.column("edge"), EDGE)):
+                if marks := page_furniture(page, size, [dict(zip(EDGE, e)) for e in edge]):
+                    out.append((doc, page, sorted(marks.items())))
+            marks_ = pa.array([[{"index_sort": w, "kind": k} for w, k in x[2]] for x in out], pa.list_(pa.struct([("index_sort", pa.int32()), ("kind", pa.string())])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), marks_], ["document_id", "page", "marks"])
 
-    @F.pandas_udf(ArrayType(StructType([StructField("index_sort", IntegerType()), StructField("kind", StringType())])))
-    def decide(pages: pd.Series, sizes: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([sorted(page_furniture(p, n, list(e)).items()) for p, n, e in zip(pages, sizes, edges)], dtype=object)
+    return paged.mapInArrow(decide, "document_id string, page int, marks array<struct<index_sort: int, kind: string>>")
 
-    return paged.select("document_id", "page", decide("page", "lines", "edge").alias("marks")).where(F.size("marks") > 0)
+
+EDGE = ("i", "place", "form", "indexes", "texts", "known", "counts", "by_part", "again")
 
 
 def page_furniture(page: int, size: int, edge: list[dict]) -> dict[int, str]:
@@ -395,51 +434,76 @@ def tokens(marked: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in COLS]
-            docs, numbers, indexes, kinds_, positions, types, nexts, places, withouts, withs, thens, texts = out
+        for batch in few_pages(batches):
+            docs, numbers, sizes, heads, indexes, kinds_, types = ([] for _ in range(7))
+            # By row, for the few words that aren't just inside a line.
+            placed: dict[int, int] = {}
+            texts: dict[int, str] = {}
+            cuts: dict[int, tuple[str, str, int]] = {}
             for doc, page, marks, lines in each_page(batch, ("document_id", "page", "marks")):
                 kinds = {m["index_sort"]: m["kind"] for m in marks or ()}
-                own = [line for x in lines.words if (line := [w for w in x if w[0] not in kinds])]
+                own = [line for x in lines.words if (line := [w for w in x if w[0] not in kinds] if kinds else x)]
                 before = len(indexes)
                 indexes.extend(kinds)
                 kinds_.extend(kinds.values())
-                for col in (positions, types, nexts, places, withouts, withs, thens, texts):
-                    col.extend([None] * len(kinds))
+                types.extend([None] * len(kinds))
                 rest: int | None = None
-                first = len(types)
                 for i, line in enumerate(own):
-                    for j, (w, text) in enumerate(line):
-                        place, without, with_, then = "in", None, None, None
-                        if rest == w:
-                            place = "rest"
-                        elif i == 0 and j == 0:
-                            place = "first"
-                        if j == len(line) - 1 and text[-1] in SIGNS and divided(text):
-                            if i + 1 < len(own):
-                                rest = own[i + 1][0][0]
-                                place, then = "cut", rest
-                                without, with_ = readings(text, own[i + 1][0][1])
-                            else:
-                                place = "last"
-                        indexes.append(w)
-                        types.append(core(text))
-                        places.append(place)
-                        withouts.append(without)
-                        withs.append(with_)
-                        thens.append(then)
-                        texts.append(text if place in ("first", "last") else None)
-                    kinds_.extend([None] * len(line))
-                positions.extend(range(len(types) - first))
-                nexts.extend(types[first + 1 :] + [None] * (len(types) > first))
-                docs.extend([doc] * (len(indexes) - before))
-                numbers.extend([page] * (len(indexes) - before))
+                    at = len(types)
+                    indexes.extend([w for w, _ in line])
+                    types.extend([core(text) for _, text in line])
+                    if rest == line[0][0]:
+                        placed[at] = PLACES.index("rest")
+                    elif i == 0:
+                        placed[at], texts[at] = PLACES.index("first"), line[0][1]
+                    at, text = len(types) - 1, line[-1][1]
+                    if text[-1] in SIGNS and divided(text):
+                        if i + 1 < len(own):
+                            rest, begun = own[i + 1][0]
+                            placed[at], cuts[at] = PLACES.index("cut"), (*readings(text, begun), rest)
+                            texts.pop(at, None)
+                        else:
+                            placed[at], texts[at] = PLACES.index("last"), text
+                docs.append(doc)
+                numbers.append(page)
+                sizes.append(len(indexes) - before)
+                heads.append(len(kinds))
+            size, head, row = np.array(sizes, int), np.array(heads, int), np.arange(len(indexes))
+            end = np.cumsum(size)
+            pos = row - np.repeat(end - size + head, size)
+            framed = pos < 0
+            last = np.isin(row, end - 1)
+            place = np.zeros(len(row), int)
+            place[list(placed)] = list(placed.values())
+
+            def some(rows: Collection[int], values: list, kind: pa.DataType) -> pa.Array:
+                where = np.full(len(row), -1)
+                where[list(rows)] = np.arange(len(rows))
+                return pa.array(values, kind).take(pa.array(where, mask=where < 0))
+
             s, n = pa.string(), pa.int32()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (s, n, n, s, n, s, s, s, s, s, n, s))], COLS)
+            each = np.repeat(np.arange(len(size)), size)
+            typed = pa.array(types, s)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(docs, s).take(pa.array(each)),
+                    pa.array(numbers, n).take(pa.array(each)),
+                    pa.array(indexes, n),
+                    some(np.flatnonzero(framed), kinds_, s),
+                    pa.array(pos, n, mask=framed),
+                    typed,
+                    typed.take(pa.array(row + 1, mask=framed | last)),
+                    pa.array(PLACES, s).take(pa.array(place, mask=framed)),
+                    *(some(cuts, [x[i] for x in cuts.values()], k) for i, k in enumerate((s, s, n))),
+                    some(texts, list(texts.values()), s),
+                ],
+                COLS,
+            )
 
     return marked.mapInArrow(run, SCHEMA)
 
 
+PLACES = ["in", "first", "rest", "cut", "last"]
 COLS = ["document_id", "page", "index_sort", "kind", "pos", "type", "next_type", "place", "without", "hyphenated", "rest_index", "text"]
 SCHEMA = "document_id string, page int, index_sort int, kind string, pos int, type string, next_type string, place string, without string, hyphenated string, rest_index int, text string"
 
@@ -545,18 +609,20 @@ def arcs(inside: DataFrame, types: DataFrame, total: int) -> DataFrame:
     divided_ = one("without", 0.0, False).unionByName(one("hyphenated", 0.01, True))
     # One word for one, and two for one. What was cut, and its rest, are no words.
     taken = cuts.where("rest_index is not null").select("document_id", F.col("rest_page").alias("page"), F.col("rest_index").alias("index_sort"))
-    words = inside.where("place in ('in', 'first')").join(taken.where(F.col("index_sort").isNotNull()), ["document_id", "page", "index_sort"], "left_anti")
     mine = types.select("type", "n", "clean")
     as_is = F.when(F.col("clean") == 0, F.col("n")).otherwise(F.col("n") + F.col("clean"))
     misread = wrong.join(mine, "type").select("type", (-lp(as_is)).alias("own"), F.lit("misread").alias("kind"), F.col("best").alias("fixed"), F.coalesce(F.log("ratio") - lp(F.col("m")) - 1e-6, -lp(as_is) - 1).alias("cost"))
     splits = split_types(types, total).join(mine, "type").select("type", F.least(-lp(as_is), F.lit(MOST)).alias("own"), F.lit("split").alias("kind"), "fixed", "cost")
     other = small(keep(misread.unionByName(splits).groupBy("type").agg(F.max("own").alias("own"), F.collect_list(F.struct("kind", "fixed", "cost")).alias("ways"))))
-    single = words.join(other, "type").select("document_id", "page", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.explode(F.concat("ways", F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("type").alias("fixed"), F.col("own").alias("cost"))))).alias("w"), "index_sort")
+    # The few words with other ways are found first, so that the rest of the words meets no other join.
+    words = inside.where("place in ('in', 'first')").join(other, "type")
+    words = words.join(taken.where(F.col("index_sort").isNotNull()), ["document_id", "page", "index_sort"], "left_anti")
+    single = words.select("document_id", "page", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), F.explode(F.concat("ways", F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("type").alias("fixed"), F.col("own").alias("cost"))))).alias("w"), "index_sort")
     single = single.select("document_id", "page", "start", "end", "w.cost", "w.kind", "w.fixed", "index_sort")
     # One for two, if texts without scans lack one of them and have the whole.
     odd = small(keep(types.where("clean = 0 and n > 0").where(F.col("type").rlike(r"^[\p{L}\p{M}]+$")).select("type")))
     near = inside.where("place in ('in', 'first') and next_type is not null and type != '' and next_type != ''").select("document_id", "page", "pos", "index_sort", "type", "next_type")
-    beside = near.join(odd, "type", "left_semi").unionByName(near.join(odd.withColumnRenamed("type", "next_type"), "next_type", "left_semi")).distinct()
+    beside = near.join(odd.withColumn("a", F.lit(True)), "type", "left").join(odd.toDF("next_type").withColumn("b", F.lit(True)), "next_type", "left").where("a or b").drop("a", "b")
     whole = types.where("clean > 0").select(F.col("type").alias("fixed"), (F.col("n") + F.col("clean")).alias("m"))
     torn = beside.withColumn("fixed", F.concat("type", "next_type")).join(whole, "fixed").join(mine.toDF("type", "na", "ca"), "type").join(mine.toDF("next_type", "nb", "cb"), "next_type")
     torn = torn.withColumn("ia", F.least(-lp(F.col("na") + F.col("ca")), F.lit(MOST))).withColumn("ib", F.least(-lp(F.col("nb") + F.col("cb")), F.lit(MOST))).withColumn("im", MERGE_COST - lp(F.col("m"))).where("im < ia + ib")
@@ -652,10 +718,10 @@ def noisy(words: DataFrame, docs: DataFrame) -> DataFrame:
     fields = ("start", "end", "cost", "kind", "fixed", "index_sort", "rest_page", "rest_index", "rest_type", "guessed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_pages(batches):
             out: list[tuple] = []
-            for doc, page, own in zip(*(batch.column(c).to_pylist() for c in ("document_id", "page", "ways"))):
-                for w in cheapest(sorted({tuple(x[f] for f in fields) for x in own}, key=lambda w: (w[0], w[1], w[2], w[3] or ""))):
+            for doc, page, own in zip(batch.column("document_id").to_pylist(), batch.column("page").to_pylist(), structs(batch.column("ways"), fields)):
+                for w in cheapest(sorted(set(own), key=lambda w: (w[0], w[1], w[2], w[3] or ""))):
                     _, _, _, kind, fixed, index, rest_page, rest, rest_type, guessed = w
                     if kind not in (None, "kept"):
                         out.append((doc, page, index, kind, fixed))
@@ -778,7 +844,7 @@ def paragraphs(words: DataFrame, docs: DataFrame) -> DataFrame:
     marked = keep(paged.join(marks, ["document_id", "page"], "left"))
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_pages(batches):
             out = []
             for doc, page, noted, lines in each_page(batch, ("document_id", "page", "marks")):
                 gone = {m["index_sort"] for m in noted or [] if m["kind"] in ("header", "page_number")}
@@ -792,7 +858,7 @@ def paragraphs(words: DataFrame, docs: DataFrame) -> DataFrame:
     both = marked.join(lead, ["document_id", "page"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_pages(batches):
             out = []
             for doc, page, noted, text, word, lines in each_page(batch, ("document_id", "page", "marks", "lead", "lead_word")):
                 kinds = {m["index_sort"]: (m["kind"], m["fixed"]) for m in noted or []}

@@ -336,6 +336,34 @@ def test_stream_over_pages(spark):
     assert kinds == {(1, 1): "merge", (1, 3): "split", (1, 15): "hyphen"}
 
 
+def test_pages_and_neighbours_are_gone_through_once(spark):
+    """Words of many pages are Python objects a few pages at a time, with the same rows; the lattice reads the words twice: for single ones and for pairs."""
+    import pyarrow as pa
+
+    class Runs:
+        def mapInArrow(self, run, schema):
+            return lambda batches: pa.Table.from_batches(run(iter(batches))).to_pylist()
+
+    texts = ["the levy", None, "of the depo-", "", "sit is due", "Page 3", " ", "and re-"]
+    rows = [
+        {"document_id": f"d{i % 7}", "page": i, "marks": [{"index_sort": 1, "kind": "header"}] if i % 3 == 0 else None, **dict(zip(scans.PARTS, map(list, zip(*own))))}
+        for i in range(scans.AT_ONCE + 90)
+        if (own := [(w, None if i % 5 == 0 else w // 3, w % 2, t) for n in range(i % 4 + 1) for w, t in enumerate((texts[(i + n) % 8] or "").split(" "), 5 * n)])
+    ]
+    kinds = pa.struct([("index_sort", pa.int32()), ("kind", pa.string())])
+    schema = pa.schema([("document_id", pa.string()), ("page", pa.int32()), ("marks", pa.list_(kinds)), *((c, pa.list_(pa.int32())) for c in scans.PARTS[:3]), ("text", pa.list_(pa.string()))])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    assert batch.num_rows > scans.AT_ONCE and max(x.num_rows for x in scans.few_pages([batch])) == scans.AT_ONCE
+    for operator in (scans.tokens, scans.lone_lines):
+        run = operator(Runs())
+        assert run([batch]) == [r for i in range(batch.num_rows) for r in run([pa.RecordBatch.from_pylist(rows[i : i + 1], schema)])]
+    one = [("d", p, [(1, "the govern ment ofthe state")]) for p in range(3)]
+    inside = scans.keep(scans.tokens(scans.pages(scanned(spark, one)).withColumn("marks", F.lit(None).cast("array<struct<index_sort: int, kind: string>>"))).where("kind is null"))
+    types = scans.keep(spark.createDataFrame([("the", 9, 9), ("govern", 3, 0), ("ment", 3, 0), ("government", 0, 9), ("ofthe", 3, 0), ("of", 9, 9), ("state", 3, 9)], "type string, n bigint, clean bigint"))
+    leaves = scans.arcs(inside, types, 100)._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert sum("next_type#" in leaves.apply(i).toString() and "place#" in leaves.apply(i).toString() for i in range(leaves.size())) == 2
+
+
 def test_furniture_is_the_same_in_a_large_corpus(spark):
     """Heads and feet that stand on few pages are found however many other pages there are."""
     own = [("d", p, [(1, "Road Toll Act, 2050"), (1, "the bank shall"), (0, "pay the levy"), (1, "Ministry of Finance Gazette")]) for p in range(2, 6)]
